@@ -10,6 +10,10 @@ and the same for every partitioning:
   of its group (count, min, max, a mean exponent), so a recomputed task puts
   every row where the lost task had put it.
 
+Whether a group is oversized is measured first, by one job that counts rows per
+group with map-side combining; without oversized groups the plan is the plain one.
+``hot_rows=None`` skips the measurement where the caller has proven groups small.
+
 The table of hot groups has at most rows/hot_rows rows and the table of range
 totals at most (RANGES + 1) * rows/hot_rows, which is why both are broadcast.
 """
@@ -37,14 +41,15 @@ def by_heat(
     keys: Sequence[str],
     cold: Callable[[DataFrame], DataFrame],
     hot: Callable[[DataFrame], DataFrame],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Run ``cold`` on ordinary groups and ``hot`` on the oversized ones.
-
-    Without oversized groups the broadcast list is empty and adaptive execution
-    drops the second branch.
-    """
-    big = F.broadcast(hot_groups(df, keys, hot_rows))
+    """Run ``cold`` on ordinary groups and ``hot`` on the oversized ones, if there are any."""
+    if hot_rows is None:
+        return cold(df)
+    big = hot_groups(df, keys, hot_rows)
+    if big.isEmpty():
+        return cold(df)
+    big = F.broadcast(big)
     return cold(df.join(big, list(keys), "left_anti")).unionByName(hot(df.join(big, list(keys), "left_semi")))
 
 
@@ -58,6 +63,20 @@ def _exponent(value: Column) -> Column:
     return F.when((v > 0) & (v < BIG), F.floor(F.log2(v)))
 
 
+def _agg(op: str, c: Column) -> Column:
+    return F.sum(c) if op == "sum" else F.min(c)
+
+
+def _plain_running(df, keys, order, inputs, descending, totals) -> DataFrame:
+    ordering = F.col(order).desc() if descending else F.col(order).asc()
+    before = W.partitionBy(*keys).orderBy(ordering).rowsBetween(W.unboundedPreceding, -1)
+    added = []
+    for out, (op, c) in inputs.items():
+        value = _agg(op, F.col(c)).over(before)
+        added.append((F.coalesce(value, F.lit(0)) if op == "sum" else value).alias(out))
+    return df.select("*", *added, *[F.sum(c).over(W.partitionBy(*keys)).alias(f"{c}_total") for c in totals])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,7 +85,7 @@ def running(
     *,
     descending: bool = False,
     totals: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add exclusive running aggregates over ``order`` inside each group.
 
@@ -75,6 +94,8 @@ def running(
     ``<column>_total``.
     """
     keys = list(keys)
+    if hot_rows is None or hot_groups(df, keys, hot_rows).isEmpty():
+        return _plain_running(df, keys, order, inputs, descending, totals)
     o = F.col(order).cast("double")
     stat_cols = [
         F.count(F.lit(1)).alias("_n"),
@@ -98,8 +119,7 @@ def running(
     ).otherwise(F.lit(0).cast("bigint"))
     tagged = df.join(F.broadcast(stats), keys, "left").withColumn("_bucket", bucket)
 
-    def agg(op: str, c: Column) -> Column:
-        return F.sum(c) if op == "sum" else F.min(c)
+    agg = _agg
 
     def merge(op: str, a: Column, b: Column) -> Column:
         if op == "sum":
@@ -147,7 +167,7 @@ def _pick(probs: Sequence[float], value: str) -> list[Column]:
 
 
 def grouped_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, weight: str | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, weight: str | None = None, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one output column per entry of ``probs``.
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from probeweave.functions.normal import normal_cdf, normal_sf
-from probeweave.functions.skew import HOT_ROWS, by_heat, running
+from probeweave.functions.skew import HOT_ROWS, by_heat, grouped_percentiles, running
 
 EXACT_BELOW = 50
 _tables: dict[str, DataFrame] = {}
@@ -54,8 +54,9 @@ def exact_tails(spark: SparkSession) -> DataFrame:
     return _tables[key]
 
 
-def _statistics(hist: DataFrame, keys: list[str]) -> DataFrame:
+def _statistics(hist: DataFrame, keys: list[str], medians: bool = False) -> DataFrame:
     """``hist`` has (keys, _v, _x, _y, _below): values, weights per side, pooled weight below."""
+    extra = [F.percentile("_v", 0.5, F.col("_x")).alias("x_median"), F.percentile("_v", 0.5, F.col("_y")).alias("y_median")] if medians else []
     t = F.col("_x") + F.col("_y")
     mid = F.col("_below").cast("double") + (t + 1) / F.lit(2.0)
     td = t.cast("double")
@@ -66,9 +67,20 @@ def _statistics(hist: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(td * td * td - td).alias("_ties"),
         F.count_if(F.col("_x") > 0).alias("_dx"),
         F.count_if(F.col("_y") > 0).alias("_dy"),
+        *extra,
     )
 
 
+def _side_medians(hist: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Medians of both sides of oversized groups, from the merged values."""
+    sides = hist.select(*keys, "_v", F.inline(F.array(
+        F.struct(F.lit("x").alias("_side"), F.col("_x").alias("_w")), F.struct(F.lit("y").alias("_side"), F.col("_y").alias("_w")),
+    ))).where("_w > 0")
+    m = grouped_percentiles(sides, [*keys, "_side"], "_v", {"_median": 0.5}, weight="_w", hot_rows=hot_rows)
+    pick = lambda s: F.max(F.when(F.col("_side") == s, F.col("_median"))).alias(f"{s}_median")
+    return m.groupBy(*keys).agg(pick("x"), pick("y"))
+
+
 def _p_values(st: DataFrame) -> DataFrame:
     m, n = F.col("m").cast("double"), F.col("n").cast("double")
     total = m + n
@@ -108,12 +120,18 @@ def _p_values(st: DataFrame) -> DataFrame:
 
 
 def rank_sum(
-    df: DataFrame, keys: Sequence[str], is_x: Column, value: str, weight: str | None = None, hot_rows: int | None = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    is_x: Column,
+    value: str,
+    weight: str | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    medians: bool = False,
 ) -> DataFrame:
     """Rank-sum test of the rows with ``is_x`` against the others, one row per key.
 
     Returns keys, m, n, u, p_greater, p_less, p_two_sided. Each row counts
-    ``weight`` times. An ordinary group costs one shuffle on the keys; groups above
+    ``weight`` times; ``medians`` adds x_median and y_median. An ordinary group costs one shuffle on the keys; groups above
     ``hot_rows`` are ranked range by range. ``hot_rows=None`` states that the
     caller has proven the groups small.
     """
@@ -131,13 +149,14 @@ def rank_sum(
     def cold(part: DataFrame) -> DataFrame:
         before = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
         hist = merged(part.repartition(*keys))
-        return _statistics(hist.withColumn("_below", F.coalesce(F.sum(F.col("_x") + F.col("_y")).over(before), F.lit(0))), keys)
+        return _statistics(hist.withColumn("_below", F.coalesce(F.sum(F.col("_x") + F.col("_y")).over(before), F.lit(0))), keys, medians)
 
     def hot(part: DataFrame) -> DataFrame:
         hist = merged(part).withColumn("_t", F.col("_x") + F.col("_y"))
-        return _statistics(running(hist, keys, "_v", {"_below": ("sum", "_t")}, hot_rows=hot_rows), keys)
+        st = _statistics(running(hist, keys, "_v", {"_below": ("sum", "_t")}, hot_rows=hot_rows), keys)
+        return st.join(_side_medians(hist, keys, hot_rows), keys) if medians else st
 
-    stats = cold(flat) if hot_rows is None else by_heat(flat, keys, cold, hot, hot_rows)
+    stats = by_heat(flat, keys, cold, hot, hot_rows)
     return _p_values(stats)
 
 

@@ -45,6 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when a small file arrives as fewer partitions; a no-op on data with many splits."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, key)
+
+
 # ---------------------------------------------------------------- probes
 HEX_TO_DNA = ("0123456789abcdef", "ACGTACGTACGTACGT")
 
@@ -129,7 +135,8 @@ ALPHABET_MAP = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate(text, *ALPHABET_MAP).alias("l"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs, "doc_id").select("doc_id", F.translate(text, *ALPHABET_MAP).alias("l"))
 
 
 def _tiles(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
@@ -179,6 +186,10 @@ def core4_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CORE4_KMERS, "kmer string, kposition int, escore double")
 
 
+def _numbered(rows):
+    return [(*r, i) for i, r in enumerate(rows)]
+
+
 def core5_rows() -> list[tuple[str, int, float]]:
     rows = []
     for pattern, at in CORE5_PATTERNS:
@@ -194,7 +205,7 @@ def core5_rows() -> list[tuple[str, int, float]]:
 
 
 def core5_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(core5_rows(), "kmer string, kposition int, escore double")
+    return spark.createDataFrame(_numbered(core5_rows()), "kmer string, kposition int, escore double, row_no int")
 
 
 def _values(rows) -> str:
@@ -202,7 +213,10 @@ def _values(rows) -> str:
 
 
 CORE4_SQL = f"core4(kmer, kposition, escore) as (values {_values(CORE4_KMERS)})"
-CORE5_SQL = f"core5(kmer, kposition, escore) as (values {_values(core5_rows())})"
+# a k-mer listed twice keeps its last usable row
+CORE5_SQL = f"""core5_all(kmer, kposition, escore, row_no) as (values {_values(_numbered(core5_rows()))}),
+core5 as (select kmer, arg_max(kposition, row_no) as kposition, arg_max(escore, row_no) as escore from core5_all
+  where escore > 0.38::double and kposition between 4 and 7 group by kmer)"""
 
 
 def escore_table(spark: SparkSession, k: int) -> DataFrame:
