@@ -36,6 +36,15 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
 
 
+def limit_if_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> int | None:
+    """``hot_rows`` when some group of ``df`` exceeds it, else None.
+
+    For flows that derive their rows from a table at no more than one row per row: the
+    cheap count on the table replaces one on the derived rows.
+    """
+    return None if hot_groups(df, keys, hot_rows).isEmpty() else hot_rows
+
+
 def by_heat(
     df: DataFrame,
     keys: Sequence[str],

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeweave.functions.seq import replace_span, revcomp
+from probeweave.functions.seq import revcomp
 
 # ---------------------------------------------------------------- fixed model values
 # k-mer alignment of a GGAA/GGAT core: (k-mer, position in the aligned motif, score)
@@ -66,15 +66,15 @@ def _probe_core(li: DataFrame) -> DataFrame:
         "l_extendedprice", "l_discount", "l_tax", "l_quantity",
     )
     text = F.concat(F.md5(F.concat(F.lit("p"), F.col("no").cast("string"))), F.substring(F.md5(F.concat(F.lit("q"), F.col("no").cast("string"))), 1, 4))
-    dna = F.translate(text, *HEX_TO_DNA)
     first = F.when(F.col("no") % 2 == 0, F.lit("GGAA")).otherwise(F.lit("GGAT"))
     second = F.when(F.col("no") % 3 == 0, F.lit("GGAA")).otherwise(F.lit("GTGGT"))
     gone1, gone2 = F.col("type").isin("m2", "m3", "negctrl"), F.col("type").isin("m1", "m3", "negctrl")
-    s = replace_span(dna, F.lit(8), F.lit(12), F.when(gone1, F.lit("TTTT")).otherwise(first))
-    s = replace_span(s, F.lit(22), F.lit(22) + F.length(second), F.when(gone2, F.substring(F.lit("TTTTT"), F.lit(1), F.length(second))).otherwise(second))
-    s = F.when(F.col("ori") == "o1", s).otherwise(revcomp(s))
     name = F.concat(F.when(F.col("type") == "negctrl", F.when(F.col("no") % 2 == 0, F.lit("ets_n")).otherwise(F.lit("run_n"))).otherwise(F.lit("p")), F.col("no").cast("string"))
-    return df.select("no", name.alias("Name"), s.alias("Sequence"), "type", "ori", "rep", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
+    df = df.withColumn("dna", F.translate(text, *HEX_TO_DNA)).withColumn("c1", F.when(gone1, F.lit("TTTT")).otherwise(first))
+    df = df.withColumn("c2", F.when(gone2, F.when(F.col("no") % 3 == 0, F.lit("TTTT")).otherwise(F.lit("TTTTT"))).otherwise(second))
+    fwd = F.concat(F.substring("dna", 1, 8), "c1", F.substring("dna", 13, 10), "c2", F.substring(F.col("dna"), F.length("c2") + 23, F.lit(36)))
+    df = df.withColumn("fwd", fwd)
+    return df.select("no", name.alias("Name"), F.when(F.col("ori") == "o1", F.col("fwd")).otherwise(revcomp("fwd")).alias("Sequence"), "type", "ori", "rep", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
