@@ -61,15 +61,17 @@ def normalise(df: DataFrame, fit: DataFrame, value: str = "intensity") -> DataFr
     return out.withColumn(value, (F.col(value) - F.col("intercept")) / F.nullif(F.col("slope"), F.lit(0.0))).drop("slope", "intercept")
 
 
-def assign_orientation(df: DataFrame, scan_1: Scanner, scan_2: Scanner, tf1: str, tf2: str, o1: str, o2: str) -> DataFrame:
+def assign_orientation(df: DataFrame, scan_1: Scanner, scan_2: Scanner, tf1: str, tf2: str, o1: str, o2: str, seqs: DataFrame | None = None) -> DataFrame:
     """Wild-type rows with both factors' site and the orientation they imply.
 
     A factor without exactly one site has position and start NULL (-999 in files). The
     orientation is ``o1`` when tf1 lies left of tf2, with a missing position counted as
-    far left, else ``o2``.
+    far left, else ``o2``. ``seqs`` (seq_id, seq) names the sequences to scan, so that two
+    chambers of one design share a single scan.
     """
     wt = df.where("type = 'wt'")
-    seqs = wt.select(F.col("Sequence").alias("seq_id"), F.col("Sequence").alias("seq")).distinct()
+    if seqs is None:
+        seqs = wt.select(F.col("Sequence").alias("seq_id"), F.col("Sequence").alias("seq")).distinct()
     both = scan_1(seqs).select("seq_id", F.lit(tf1).alias("tf"), "core_mid", "core_start").unionByName(
         scan_2(seqs).select("seq_id", F.lit(tf2).alias("tf"), "core_mid", "core_start"))
     cols = []

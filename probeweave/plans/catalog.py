@@ -1,4 +1,4 @@
 """Imports every query module, so that all queries are registered."""
 
-from probeweave.plans import queries_chambers, queries_replicates, queries_scan  # noqa: F401
+from probeweave.plans import queries_chambers, queries_clean, queries_replicates, queries_scan, queries_sites  # noqa: F401
 from probeweave.plans.registry import QUERIES, SQL  # noqa: F401

@@ -162,10 +162,11 @@ letters as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', '
 DNA_SQL = LETTERS_SQL + """,
 dna as (select doc_id * 1000000 + tile as seq_id, substr(l, (tile * 36 + 1)::int, 36) as seq
   from letters, lateral (select unnest(range(0, (length(l) + 35) // 36)) as tile))"""
-PEAKS_SQL = LETTERS_SQL + """,
+PEAKS_ONLY_SQL = """
 peaks as (select doc_id * 1000000 + tile as seq_id, substr(l, (tile * 200 + 1)::int, 200) as seq,
   ((doc_id * 31 + tile * 17) % 101)::double as pileup
   from letters, lateral (select unnest(range(0, (length(l) + 199) // 200)) as tile))"""
+PEAKS_SQL = LETTERS_SQL + "," + PEAKS_ONLY_SQL
 
 
 # ---------------------------------------------------------------- tracks from embeddings
@@ -182,8 +183,15 @@ tracks as (select vec_id as seq_id, case when label % 2 = 0 then 'cooperative' e
 
 
 # ---------------------------------------------------------------- model tables
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as inline rows of the plan."""
+    cols = ", ".join(f"cast(col{i + 1} as {c.split()[1]}) as {c.split()[0]}" for i, c in enumerate(schema.split(", ")))
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"select {cols} from values {values}")
+
+
 def core4_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CORE4_KMERS, "kmer string, kposition int, escore double")
+    return _local(spark, CORE4_KMERS, "kmer string, kposition int, escore double")
 
 
 def _numbered(rows):
@@ -205,7 +213,7 @@ def core5_rows() -> list[tuple[str, int, float]]:
 
 
 def core5_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_numbered(core5_rows()), "kmer string, kposition int, escore double, row_no int")
+    return _local(spark, _numbered(core5_rows()), "kmer string, kposition int, escore double, row_no int")
 
 
 def _values(rows) -> str:

@@ -61,7 +61,9 @@ def _fit(spark, sf_dir):
 
 
 def _oriented(spark, sf_dir):
-    place = lambda d: C.assign_orientation(d, _scan4(spark), _scan5(spark), "four", "five", "er", "re")
+    wild = fx.chamber(spark, sf_dir, "x").where("type = 'wt'")  # both chambers hold the same design
+    seqs = wild.select(F.col("Sequence").alias("seq_id"), F.col("Sequence").alias("seq")).distinct()
+    place = lambda d: C.assign_orientation(d, _scan4(spark), _scan5(spark), "four", "five", "er", "re", seqs)
     y = C.normalise(place(fx.chamber(spark, sf_dir, "y")), _fit(spark, sf_dir))
     return place(fx.chamber(spark, sf_dir, "x")), y
 
