@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +27,24 @@ def build_session(app: str = "probeweave", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of its own only on a single machine without one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return os.path.join(tempfile.gettempdir(), f"probeweave-checkpoint-{context.applicationId}")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+    """Write ``df`` once to the shared checkpoint folder and read it back.
 
-    The cluster's setting is read from the session. Only where none is set
-    (single-machine tests) a folder below the current directory's warehouse is
-    used, so an executor can be lost at any time without losing the data.
+    This cuts the lineage and survives lost executors. A written table is computed once
+    (an eager checkpoint computes its last stage twice), is read with column pruning and known
+    size, and does not carry the old plan's constraints into the next step of a loop.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = os.path.join("/tmp", f"probeweave-checkpoint-{context.applicationId}")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = os.path.join(checkpoint_folder(df.sparkSession), f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
