@@ -98,10 +98,10 @@ def rank_sum_test(spark, sf_dir):
     return t.select("Name", "ori", "m", "n", "u", *[F.round(c, 7).alias(c) for c in ("p_greater", "p_less", "p_two_sided")])
 
 
-@query(f"""{WITH} select "Name", ori, type, quantile_cont(intensity, 0.5) as median from probes group by all""")
+@query(f"""{WITH} select "Name", ori, type, round(quantile_cont(intensity, 0.5), 6) as median from probes group by all""")
 def grouped_median(spark, sf_dir):
     """Median per name, orientation and type."""
-    return grouped_percentiles(fx.probes(spark, sf_dir), ["Name", "ori", "type"], "intensity", {"median": 0.5})
+    return grouped_percentiles(fx.probes(spark, sf_dir), ["Name", "ori", "type"], "intensity", {"median": 0.5}).withColumn("median", F.round("median", 6))
 
 
 @query(f"""{WITH}, {CUTOFF} select round(cutoff, 6) as cutoff from cutoff""")
