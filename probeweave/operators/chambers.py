@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from probeweave.functions.skew import HOT_ROWS, grouped_percentiles, limit_if_hot
 from probeweave.operators.ranktest import rank_sum
+from probeweave.session import checkpointed
 
 Scanner = Callable[[DataFrame], DataFrame]
 
@@ -49,7 +50,7 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def normalisation(x: DataFrame, y: DataFrame, scanner: Scanner, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Fit of chamber y on x over the single-site mutants: one row slope, intercept, r2."""
-    one = one_site_sequences(x, scanner)
+    one = checkpointed(one_site_sequences(x, scanner))  # scanned once, used for both chambers
     joined = join_chambers(mutant_medians(x, one, hot_rows), mutant_medians(y, one, hot_rows), ["Name", "Sequence", "ori"])
     return linear_fit(joined, "intensity_x", "intensity_y")
 

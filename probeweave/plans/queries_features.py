@@ -70,7 +70,7 @@ def _flank_totals(sides: str, label: str, n: int, maxk: int) -> str:
 kmers as (select k, a || case when k = 2 then b else '' end as kmer from ks, (select unnest(['A','C','G','T']) as a), (select unnest(['A','C','G','T']) as b) group by all),
 tot as (select tag, i, k, substr(f, (i + 1)::int, k::int) as kmer, count(*) as n from cell group by all),
 miss as (select tag, i, k, sum(n) filter (where length(kmer) < k) as lost from tot group by all)
-select tag || '_{label}_pos' || m.i || '_' || q.kmer as name, coalesce(t.n, 0)::double - coalesce(m.lost, 0)::double as total from miss m join kmers q using (k) left join tot t on t.tag = m.tag and t.i = m.i and t.k = m.k and t.kmer = q.kmer"""
+select m.tag || '_{label}_pos' || m.i || '_' || q.kmer as name, coalesce(t.n, 0)::double - coalesce(m.lost, 0)::double as total from miss m join kmers q using (k) left join tot t on t.tag = m.tag and t.i = m.i and t.k = m.k and t.kmer = q.kmer"""
 
 
 @query(f"""with {ROWS_SQL}, {_flank_totals('''select 's1' as tag, case when site_str_pos < site_wk_pos then substr("Sequence", site_str_pos + 1, 3) else reverse(substr("Sequence", site_str_pos - 2, 3)) end as f from rows
