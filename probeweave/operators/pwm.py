@@ -118,6 +118,8 @@ def _scan_batches(pwm: Pwm, positive_only: bool):
                 f, r = score(letters[lo : lo + CHUNK + n - 1])
                 best = np.where(f > r, f, r)
                 at = np.nonzero(best > 0 if positive_only else ~np.isnan(best))[0]
+                if not len(at):
+                    continue
                 row = np.searchsorted(starts, at + lo, side="right") - 1
                 first = at + lo - starts[row]
                 yield pd.DataFrame({

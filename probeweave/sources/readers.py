@@ -59,7 +59,9 @@ def kmer_length(table: DataFrame) -> int:
 def read_pwm(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
     """Lines "A: p p p ..." as (base, offset, p), offsets counted from ``start``."""
     lines = spark.read.text(path).where(F.col("value").contains(":"))
-    parts = lines.select(F.trim(F.split("value", ":")[0]).alias("base"), F.posexplode(F.split(F.trim(F.split("value", ":")[1]), r"\s+")).alias("offset", "p"))
+    clean = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    cells = F.split(clean(F.split("value", ":")[1]), r"\s+")
+    parts = lines.select(clean(F.split("value", ":")[0]).alias("base"), F.posexplode(cells).alias("offset", "p"))
     keep = F.col("offset") >= start
     if end is not None:
         keep = keep & (F.col("offset") < end)
