@@ -111,6 +111,7 @@ def call_chamber_label(p_coop: Column, p_anti: Column, pcut: float, pambig: floa
 def chamber_tests(pairs: DataFrame, cutoff: DataFrame, pcut: float = 0.015, pambig: float = 0.06, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per (ori, Name): medians, one-sided p-values of y over x, label or below_cutoff."""
     keys = ["ori", "Name"]
+    pairs = checkpointed(pairs)  # behind it lie the site scans; the tests and the medians both read it
     t = rank_sum(pairs, keys, F.col("side") == "y", "intensity", "weight", hot_rows=hot_rows, medians=True)
     t = t.withColumnRenamed("x_median", "intensity_y").withColumnRenamed("y_median", "intensity_x")
     raw = grouped_percentiles(pairs.where("side = 'y'"), keys, "unnormalized_intensity", {"unnormalized_intensity": 0.5}, weight="weight", hot_rows=hot_rows)
