@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeweave.llm import decontamination, langid, mixing, simhash, tokenfile
+from probeweave.llm import covertree, decontamination, langid, licenses, linededup, mixing, sharding, simhash, tokencounts, tokenfile
 from probeweave.llm.common import Steps, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,43 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """How the rank files' tokenizer cuts a text into pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@register(linededup.ORACLE_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_deleted", "n_runs", F.md5("text").alias("kept_md5"))
+
+
+@register(licenses.oracle_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir, "doc_id", "text")).drop("hits")
+
+
+@register()
+def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(documents(spark, sf_dir, "doc_id", "text"), carry=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register()
+def op4_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern()
+    trees = tokencounts.build_trees(docs.withColumn("edits", tokencounts.sample_edits(F.col("doc_id"), F.col("text"))), path, pattern)
+    return tokencounts.apply_edits(trees, path, pattern).select("doc_id", "n_tokens_before", "n_tokens", F.length("text").alias("n_chars"), "n_encoded_chars")
+
+
+@register(covertree.ORACLE_SQL)
+def op5_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 @register()
 def op6_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = Steps(spark, "tokens")
