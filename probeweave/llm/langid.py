@@ -2,8 +2,9 @@
 
 Every letter has a random vector of +1 and -1, a pure function of its code point. A trigram's vector binds its three
 letters' vectors, rotated by two, one and no places. A text's vector bundles (adds) the vectors of its trigrams; a
-language's prototype bundles those of its labelled texts. A text gets the language whose prototype has the largest
-cosine with it. All sums are of whole numbers, so results do not depend on how rows are dealt to tasks.
+language's prototype adds those of its labelled texts, brought to one length so that a very long text counts as one. A
+text gets the language whose prototype has the largest cosine with it. All sums are of whole numbers, so results do not
+depend on how rows are dealt to tasks.
 
 Edge rows: a text that is null or without a letter is ``und`` with score 0; a text of one letter still has the trigram
 (space, letter, space). Ties go to the smaller language name. Without any labelled text everything is ``und``. A null
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probeweave.llm.common import map_texts, pieces
+from probeweave.llm.common import Steps, map_texts, pieces
 
 DIMENSIONS, SEED = 1024, 20_241
+#: Length of a text's vector in its language's prototype.
+WEIGHT = 4096
 UNKNOWN = "und"
 #: Prototypes are sent to every task: at most this many languages of DIMENSIONS numbers each (32 MB).
 MAX_LANGUAGES = 4096
@@ -105,12 +108,10 @@ class Profiler:
         return self.project(counts, used, letters)
 
     def bundle(self, texts: list[str]) -> np.ndarray:
-        """The sum of the texts' bundles."""
-        columns, used, letters = self.columns(texts)
-        counts = np.zeros(len(used))
-        for column in columns:
-            counts += np.bincount(column, minlength=len(used))
-        return self.project(counts[None], used, letters)[0]
+        """The sum of the texts' bundles, each brought to the length WEIGHT and rounded."""
+        vectors = self.vectors(texts)
+        norms = np.linalg.norm(vectors, axis=1)
+        return np.rint(vectors * (WEIGHT / np.where(norms > 0, norms, 1))[:, None]).astype(np.int64).sum(axis=0)
 
 
 def has_letter(text: str | None) -> bool:
@@ -136,10 +137,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
                 for name, texts in by.items():
                     sums[name] = sums.get(name, 0) + profiler.bundle(texts)
         names = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[n].astype(np.int64).tolist() for n in names], pa.list_(pa.int64()))], names=["lang", "bundle"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[n].tolist() for n in names], pa.list_(pa.int64()))], names=["lang", "bundle"])
 
     parts = source.mapInArrow(bundle, "lang string, bundle array<long>")
     summed = parts.select("lang", F.posexplode("bundle").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
+    summed = Steps(labelled.sparkSession, "languages").write(summed)
     if (languages := summed.filter("place = 0").count()) > MAX_LANGUAGES:
         raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} are learned")
     out: dict[str, np.ndarray] = {}

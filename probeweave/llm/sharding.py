@@ -156,7 +156,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     cuts = find_splitters(keys, wanted, total, ids, int(tolerance * total[0] / shards / pieces)) if total[1] else []
     # Range r begins at cut r; its shard, and the rows of that shard before it.
     bounds = [(0, 0, 0), *cuts]
-    probes = [_key(c[0]) for c in cuts]
+    probes = [_key(c[0]) for c in cuts if c[0] < SPAN**3]  # a cut past all keys has nothing behind it
     first = [bounds[r - r % pieces][2] for r in range(len(bounds))]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
