@@ -2,40 +2,44 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def build_session(app: str = "probeweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library is tuned for; a cluster's own settings win."""
+    """A session with ``conf``, and the library's own settings wherever the cluster or the caller has set nothing."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-    }
-    settings.update(conf)
-    for key, value in settings.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    submitted = spark.sparkContext.getConf()
+    for key, value in SETTINGS.items():
+        if key not in conf and not submitted.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of its own only on a single machine without one."""
+    """The cluster's ``spark.checkpoint.dir``; without one, on a single machine only, a folder in the warehouse."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), f"probeweave-checkpoint-{context.applicationId}")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/steps-{context.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -45,6 +49,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     (an eager checkpoint computes its last stage twice), is read with column pruning and known
     size, and does not carry the old plan's constraints into the next step of a loop.
     """
-    path = os.path.join(checkpoint_folder(df.sparkSession), f"step-{uuid.uuid4().hex}")
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
