@@ -87,12 +87,12 @@ def orientation_sign(flag) -> Column:
 
 
 def kmer_codes(seq, k: int, alphabet: str = "ATCG") -> Column:
-    """Array of the k-mer codes of a string, by default in the order A,T,C,G."""
+    """Array of the k-mer codes of a string, by default in the order A,T,C,G; NULL where a letter is outside the alphabet."""
     s = _col(seq)
     digits = F.translate(s, alphabet, "0123")
     windows = F.transform(
         F.sequence(F.lit(1), F.length(s) - (k - 1)),
-        lambda i: F.conv(F.substring(digits, i, F.lit(k)), 4, 10).cast("int"),
+        lambda i: F.when(F.substring(s, i, F.lit(k)).rlike(f"^[{alphabet}]+$"), F.conv(F.substring(digits, i, F.lit(k)), 4, 10).cast("int")),
     )
     return F.when(F.length(s) >= k, windows).otherwise(F.array().cast("array<int>"))
 
@@ -104,6 +104,7 @@ def shift_fill(seq, move, key, seed: int = 0) -> Column:
     the same letters.
     """
     s, m = _col(seq), _col(move)
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws("-", _col(key).cast("string"), F.lit(str(seed)), i.cast("string"))), 1, 1), 16, 10).cast("int")
     n = F.least(F.abs(m), F.length(s))
     fill = F.when(
         n > 0,
@@ -111,7 +112,7 @@ def shift_fill(seq, move, key, seed: int = 0) -> Column:
             "",
             F.transform(
                 F.sequence(F.lit(1), n),
-                lambda i: F.substring(F.lit(BASES), (F.pmod(F.xxhash64(_col(key).cast("string"), F.lit(seed), i), F.lit(4)) + 1).cast("int"), F.lit(1)),
+                lambda i: F.substring(F.lit(BASES), (drawn(i) % 4 + 1).cast("int"), F.lit(1)),
             ),
         ),
     ).otherwise(F.lit(""))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from probeweave.functions.seq import BASES, replace_span
-from probeweave.session import checkpointed
+from probeweave.session import StepTables, checkpointed
 
 Scanner = Callable[[DataFrame], DataFrame]
 
@@ -73,22 +73,23 @@ def _scan_state(rows: DataFrame, seq: str, scanner: Scanner) -> DataFrame:
 
 
 def eliminate_site(state: DataFrame, table: DataFrame, k: int, scanner: Scanner, threshold: float = 0.3, barrier: int = 1,
-                   keep_out: tuple[int, int] | None = None, max_steps: int = 40) -> DataFrame:
+                   keep_out: tuple[int, int] | None = None) -> DataFrame:
     """Remove the target site of each row of (row_id, seq, site_start, site_width, target, others).
 
     Per step: the best changeable k-mer (not tried before) gets the weakest middle base. The
     change is refused when it removes the site but leaves another number of sites than one
     fewer. A row is done when the site is gone and the best k-mer scores below ``threshold``
-    (status "removed"), or when no k-mer is left ("stuck", with no positions reported). Rows
-    still active after ``max_steps`` come back as "limit". Returns row_id, seq, positions, status.
+    (status "removed"), or when no k-mer is left ("stuck", with no positions reported). A k-mer
+    is tried once at each place, so every row ends. Returns row_id, seq, positions, status.
     """
     variants = F.broadcast(weakest_variants(table, k))
     start = state.withColumn("ignored", F.array().cast("array<string>")).withColumn("positions", F.array().cast("array<int>")).withColumn("present", F.lit(True))
     n0 = scanner(start.select(F.col("row_id").alias("seq_id"), "seq")).groupBy(F.col("seq_id").alias("row_id")).agg(F.count(F.lit(1)).alias("n0"))
-    active = checkpointed(start.join(n0, "row_id", "left").fillna(0, subset=["n0"]))
-    done = None
+    steps = StepTables(state.sparkSession)
+    active = steps.write(start.join(n0, "row_id", "left").fillna(0, subset=["n0"]))
+    done = active.limit(0).select("row_id", "seq", "positions", F.lit("").alias("status"))
     mid = k // 2
-    for _ in range(max_steps):
+    while not active.isEmpty():
         b = best_kmer(active, table, k, barrier, keep_out).join(variants, "kmer")
         s = active.join(b, "row_id", "left")
         at = F.col("site_start") + F.col("start_idx")
@@ -99,27 +100,24 @@ def eliminate_site(state: DataFrame, table: DataFrame, k: int, scanner: Scanner,
         s = s.join(found, "row_id", "left").withColumn("gone", ~F.coalesce("hit", F.lit(False)))
         refused = F.col("gone") & (F.coalesce("n_sites", F.lit(0)) != F.col("n0") - 1)
         going = F.col("status").isNull()
-        step = checkpointed(s.select(
+        step = steps.write(s.select(
             "row_id", "site_start", "site_width", "target", "others", "n0", "status",
             F.when(going & ~refused, F.col("newseq")).otherwise(F.col("seq")).alias("seq"),
             F.when(going, F.array_append("ignored", F.concat_ws(":", F.col("start_idx").cast("string"), "kmer"))).otherwise(F.col("ignored")).alias("ignored"),
             F.when(going & ~refused, F.array_append("positions", (at + mid).cast("int"))).when(F.col("status") == "stuck", F.array().cast("array<int>")).otherwise(F.col("positions")).alias("positions"),
             F.when(going, ~F.col("gone")).otherwise(F.col("present")).alias("present")))
-        finished = step.where("status is not null").select("row_id", "seq", "positions", "status")
-        done = finished if done is None else done.unionByName(finished)
+        done = done.unionByName(step.where("status is not null").select("row_id", "seq", "positions", "status"))
         active = step.where("status is null").drop("status")
-        if active.isEmpty():
-            return done
-    rest = active.select("row_id", "seq", "positions", F.lit("limit").alias("status"))
-    return rest if done is None else done.unionByName(rest)
+    return steps.finish(done)
 
 
 def abolish_sites(seqs: DataFrame, sites: DataFrame, indexes: list[int], table: DataFrame, k: int, scanner: Scanner, mode: str = "to_eliminate",
-                  threshold: float = 0.3, barrier: int = 1, keep_out: tuple[int, int] | None = None, max_steps: int = 40) -> DataFrame:
+                  threshold: float = 0.3, barrier: int = 1, keep_out: tuple[int, int] | None = None) -> DataFrame:
     """Remove the sites with the given indexes (or, with mode "to_keep", all others) one after another.
 
     Sites are numbered from 0 by (core_mid, strand, core_start) on the original sequence.
-    Returns seq_id, seq (mutated), positions, removed (how many sites were removed).
+    Returns seq_id, seq (mutated), positions, removed (how many sites were removed) and status:
+    "removed" when all were, "stuck" when one could not be, NULL where there was none to remove.
     """
     if mode not in ("to_eliminate", "to_keep"):
         raise ValueError("mode must be to_eliminate or to_keep")
@@ -134,13 +132,15 @@ def abolish_sites(seqs: DataFrame, sites: DataFrame, indexes: list[int], table:
     others = F.transform(F.filter("cores", lambda c: c["idx"] != F.col("idx")), lambda c: F.struct(c["lo"].alias("lo"), c["hi"].alias("hi")))
     targets = checkpointed(targets.withColumn("turn", turn).select("seq_id", "turn", "site_start", "site_width", F.col("core_start").alias("target"), others.alias("others")))
     turns = targets.agg(F.max("turn")).first()[0] or 0
-    current = seqs.select("seq_id", "seq", F.array().cast("array<int>").alias("positions"), F.lit(0).alias("removed"))
+    current = seqs.select("seq_id", "seq", F.array().cast("array<int>").alias("positions"), F.lit(0).alias("removed"), F.lit(None).cast("string").alias("status"))
+    steps = StepTables(seqs.sparkSession)
     for t in range(1, turns + 1):
         rows = targets.where(F.col("turn") == t).join(current.select("seq_id", "seq"), "seq_id").withColumnRenamed("seq_id", "row_id").drop("turn")
-        r = eliminate_site(rows, table, k, scanner, threshold, barrier, keep_out, max_steps)
-        r = r.select(F.col("row_id").alias("seq_id"), F.col("seq").alias("newseq"), F.col("positions").alias("p"), "status")
+        r = eliminate_site(rows, table, k, scanner, threshold, barrier, keep_out)
+        r = r.select(F.col("row_id").alias("seq_id"), F.col("seq").alias("newseq"), F.col("positions").alias("p"), F.col("status").alias("this"))
         j = current.join(r, "seq_id", "left")
-        current = checkpointed(j.select(
+        current = steps.write(j.select(
             "seq_id", F.coalesce("newseq", "seq").alias("seq"), F.when(F.col("p").isNotNull(), F.concat("positions", "p")).otherwise(F.col("positions")).alias("positions"),
-            (F.col("removed") + F.when(F.col("status") == "removed", 1).otherwise(0)).alias("removed")))
-    return current
+            (F.col("removed") + F.when(F.col("this") == "removed", 1).otherwise(0)).alias("removed"),
+            F.when((F.col("status") == "stuck") | F.col("this").isNull(), F.col("status")).otherwise(F.col("this")).alias("status")))
+    return steps.finish(current)

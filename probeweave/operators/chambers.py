@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeweave.functions.skew import HOT_ROWS, grouped_percentiles, limit_if_hot
+from probeweave.functions.skew import HOT_ROWS, grouped_percentiles
 from probeweave.operators.ranktest import rank_sum
 from probeweave.session import checkpointed
 
@@ -31,10 +31,7 @@ def one_site_sequences(df: DataFrame, scanner: Scanner) -> DataFrame:
 
 def mutant_medians(df: DataFrame, one_site: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Median per (Name, Sequence, ori) of the m1 and m2 rows that keep exactly one site."""
-    rows = df.where(F.col("type").isin("m1", "m2"))
-    if hot_rows is not None:
-        hot_rows = limit_if_hot(rows, ["Name", "Sequence", "ori"], hot_rows)
-    rows = rows.join(one_site, "Sequence", "left_semi")
+    rows = df.where(F.col("type").isin("m1", "m2")).join(one_site, "Sequence", "left_semi")
     return grouped_percentiles(rows, ["Name", "Sequence", "ori"], "intensity", {"intensity": 0.5}, hot_rows=hot_rows)
 
 
@@ -62,19 +59,16 @@ def normalise(df: DataFrame, fit: DataFrame, value: str = "intensity") -> DataFr
     return out.withColumn(value, (F.col(value) - F.col("intercept")) / F.nullif(F.col("slope"), F.lit(0.0))).drop("slope", "intercept")
 
 
-def assign_orientation(df: DataFrame, scan_1: Scanner, scan_2: Scanner, tf1: str, tf2: str, o1: str, o2: str, seqs: DataFrame | None = None) -> DataFrame:
-    """Wild-type rows with both factors' site and the orientation they imply.
+def place_sites(seqs: DataFrame, scan_1: Scanner, scan_2: Scanner, tf1: str, tf2: str, o1: str, o2: str) -> DataFrame:
+    """Per distinct sequence of ``seqs`` both factors' site and the orientation they imply, written once.
 
     A factor without exactly one site has position and start NULL (-999 in files). The
     orientation is ``o1`` when tf1 lies left of tf2, with a missing position counted as
-    far left, else ``o2``. ``seqs`` (seq_id, seq) names the sequences to scan, so that two
-    chambers of one design share a single scan.
+    far left, else ``o2``.
     """
-    wt = df.where("type = 'wt'")
-    if seqs is None:
-        seqs = wt.select(F.col("Sequence").alias("seq_id"), F.col("Sequence").alias("seq")).distinct()
-    both = scan_1(seqs).select("seq_id", F.lit(tf1).alias("tf"), "core_mid", "core_start").unionByName(
-        scan_2(seqs).select("seq_id", F.lit(tf2).alias("tf"), "core_mid", "core_start"))
+    distinct = checkpointed(seqs.select(F.col("Sequence").alias("seq_id"), F.col("Sequence").alias("seq")).where("seq is not null").distinct())
+    both = scan_1(distinct).select("seq_id", F.lit(tf1).alias("tf"), "core_mid", "core_start").unionByName(
+        scan_2(distinct).select("seq_id", F.lit(tf2).alias("tf"), "core_mid", "core_start"))
     cols = []
     for tf in (tf1, tf2):
         mine = F.col("tf") == tf
@@ -82,9 +76,15 @@ def assign_orientation(df: DataFrame, scan_1: Scanner, scan_2: Scanner, tf1: str
         cols += [F.when(single, F.max(F.when(mine, F.col("core_mid")))).alias(f"{tf}_pos"),
                  F.when(single, F.max(F.when(mine, F.col("core_start")))).alias(f"{tf}_start")]
     sites = both.groupBy("seq_id").agg(*cols).withColumnRenamed("seq_id", "Sequence")
-    out = wt.drop("ori").join(sites, "Sequence", "left")
     far = lambda tf: F.coalesce(F.col(f"{tf}_pos"), F.lit(-999))
-    return out.withColumn("ori", F.when(far(tf1) < far(tf2), o1).otherwise(o2)).select(
+    placed = distinct.select(F.col("seq_id").alias("Sequence")).join(sites, "Sequence", "left")
+    return checkpointed(placed.withColumn("ori", F.when(far(tf1) < far(tf2), o1).otherwise(o2)))
+
+
+def assign_orientation(df: DataFrame, placed: DataFrame, tf1: str, tf2: str) -> DataFrame:
+    """Wild-type rows with the sites and orientation of their sequence (``place_sites``)."""
+    out = df.where("type = 'wt'").drop("ori").join(placed, "Sequence", "left")
+    return out.select(
         "Name", "Sequence", "intensity", f"{tf1}_pos", f"{tf1}_start", f"{tf2}_pos", f"{tf2}_start", "ori", "rep",
         *[c for c in df.columns if c.startswith("unnormalized_")])
 

@@ -1,20 +1,29 @@
 """Feature columns of two-site rows.
 
-Every feature is a list of (name, column) over one row, so a feature table is one
-projection: no join and no shuffle. The names are fixed by the parameters, never by
-the data.
+Every feature is a list of (name, column) over one row, or of blocks that name the entries
+of an array column, so a feature table is one projection: no join and no shuffle. The names
+are fixed by the parameters, never by the data.
 """
 
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeweave.functions.seq import BASES
+from probeweave.functions.seq import BASES, seq_to_int
 
-Feature = list[tuple[str, Column]]
+
+class Block(NamedTuple):
+    """Several features that are one array<double> column."""
+
+    names: list[str]
+    column: Column
+
+
+Feature = list[tuple[str, Column] | Block]
 SHAPES = ("ProT", "MGW", "Roll", "HelT")
 NO_BASE = -1.0  # one-hot value where the flank has no such base
 NO_VALUE = -999.0  # shape value where the track has none
@@ -65,7 +74,7 @@ def orientation(*, pos_cols, positive_cores: list[str] | None = None, relative:
 
 def affinity(*, colnames: tuple[str, ...] = ("site_wk_score", "site_str_score")) -> Feature:
     if not 1 <= len(colnames) <= 2:
-        raise ValueError("there should be only 1 or 2 columns")
+        raise ValueError(f"affinity takes one or two columns, not {len(colnames)}")
     return [(c, F.col(c).cast("double")) for c in colnames]
 
 
@@ -81,12 +90,17 @@ def _side_flank(seq: Column, pos: Column, seqin: int, left: bool) -> Column:
 
 
 def _one_hot(flank: Column, n: int, tag: str, maxk: int) -> Feature:
+    """One block for each place and k: the place's k-mer is one code, compared with every code in the k-mers' order."""
     out = []
     for k in range(1, maxk + 1):
+        kmers = list(map("".join, itertools.product(BASES, repeat=k)))
         for i in range(n + 1 - k):
             here = F.substring(flank, i + 1, k)
-            for kmer in map("".join, itertools.product(BASES, repeat=k)):
-                out.append((f"{tag}_pos{i}_{kmer}", F.when(F.length(here) < k, NO_BASE).when(here == kmer, 1.0).otherwise(0.0)))
+            # -1 where the flank ends before, -2 for a k-mer with another letter
+            code = F.when(F.length(here) < k, -1).otherwise(F.coalesce(seq_to_int(here), F.lit(-2)))
+            flag = lambda j, c: F.when(c == j, 1.0).when(c == -1, NO_BASE).otherwise(0.0)
+            cells = F.transform(F.array(code), lambda c: F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda j: flag(j, c)))
+            out.append(Block([f"{tag}_pos{i}_{kmer}" for kmer in kmers], F.get(cells, F.lit(0))))
     return out
 
 
@@ -105,7 +119,7 @@ def sequence(*, seqin: int, poscols: tuple[str, str], smode: str = "positional",
         label = "linker"
         flanks = [("toright", _flank(s, c, c + n)), ("toleft", _flank(s, c - n, c))]
     else:
-        raise ValueError("smode can only be 'relative', 'positional', or 'linker'")
+        raise ValueError(f"unknown flank mode {smode!r}")
     return [f for tag, flank in flanks for f in _one_hot(flank, n, f"{tag}_{label}", maxk)]
 
 
@@ -156,7 +170,10 @@ def feature_list(spec: dict[str, dict]) -> Feature:
 
 def feature_columns(df: DataFrame, spec: dict[str, dict], keep: list[str]) -> DataFrame:
     """One column per feature, for narrow specifications."""
-    return df.select(*keep, *[c.alias(n) for n, c in feature_list(spec)])
+    single = []
+    for f in feature_list(spec):
+        single += [(n, F.get(f.column, F.lit(i))) for i, n in enumerate(f.names)] if isinstance(f, Block) else [f]
+    return df.select(*keep, *[c.alias(n) for n, c in single])
 
 
 def numeric_label(label: str = "label", mapping: dict[str, int] | None = None) -> Column:
@@ -169,8 +186,12 @@ def numeric_label(label: str = "label", mapping: dict[str, int] | None = None) -
 
 def training_vectors(df: DataFrame, spec: dict[str, dict], keep: list[str]) -> tuple[DataFrame, list[str]]:
     """Rows with ``features`` (array<double>) and the list naming its entries."""
-    f = feature_list(spec)
-    return df.select(*keep, F.array(*[c for _, c in f]).alias("features")), [n for n, _ in f]
+    parts, names = [], []
+    for block, group in itertools.groupby(feature_list(spec), lambda f: isinstance(f, Block)):
+        group = list(group)
+        parts += [f.column for f in group] if block else [F.array(*[c for _, c in group])]
+        names += [n for f in group for n in (f.names if block else [f[0]])]
+    return df.select(*keep, F.concat(*parts).alias("features")), names
 
 
 def sequence_tensor(df: DataFrame, mers: int = 2, scores: tuple[str, ...] = (), target: str = "delta", seq: str = "Sequence") -> DataFrame:
@@ -178,5 +199,5 @@ def sequence_tensor(df: DataFrame, mers: int = 2, scores: tuple[str, ...] = (),
     from probeweave.functions.seq import kmer_codes
 
     if mers < 1:
-        raise ValueError("mers must be set to a positive integer")
+        raise ValueError(f"k-mers need at least one letter, not {mers}")
     return df.select("Name", kmer_codes(seq, mers).alias("codes"), F.col(target).cast("float").alias(target), *[F.col(c).cast("float").alias(c) for c in scores])

@@ -197,7 +197,9 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, out: str = "p
     raw = up.withColumn("_raw", F.col(p) * F.col("_c_total") / (F.col("_before") + F.col("_c")))
     down = running(raw, keys, p, {"_later": ("min", "_raw")}, descending=True, hot_rows=hot_rows)
     table = down.select(*keys, p, F.least(F.lit(1.0), F.col("_raw"), F.col("_later")).alias(out))
-    return df.join(table, [*keys, p], "left")
+    table = table.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, p])], out)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, p])]
+    return df.join(table, same, "left").select(*df.columns, out)
 
 
 def _beta_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:

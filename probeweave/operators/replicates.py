@@ -74,7 +74,7 @@ def first_sequence(df: DataFrame) -> DataFrame:
 
 def control_cutoff(controls: DataFrame, percentile: float = 0.95, pattern: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row: the percentile of the per-name control medians."""
-    med = control_medians(controls, pattern, hot_rows)
+    med = checkpointed(control_medians(controls, pattern, hot_rows))  # one row per name
     return grouped_percentiles(med, [], "intensity", {"cutoff": percentile}, hot_rows=hot_rows)
 
 

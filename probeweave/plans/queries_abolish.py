@@ -33,4 +33,4 @@ def abolished_sites(spark, sf_dir):
     scanner = lambda s: kmer_sites.call_sites(s, core4(spark))
     sites = checkpointed(scanner(d))
     seqs = d.join(sites.select("seq_id").distinct(), "seq_id", "left_semi")
-    return abolish.abolish_sites(seqs, sites, [0], fx.escore_table(spark, K), K, scanner, threshold=0.4, max_steps=12)
+    return abolish.abolish_sites(seqs, sites, [0], fx.escore_table(spark, K), K, scanner, threshold=0.4)

@@ -58,38 +58,37 @@ def orientation_from_cores(spark, sf_dir):
     return ft.feature_columns(rows(spark, sf_dir), spec, ["seq_id"])
 
 
-def _totals(df, spec):
+def _values(df, spec):
+    """(seq_id, name, value) of every feature that is not 0."""
     t, names = ft.training_vectors(df, spec, ["seq_id"])
     n = F.array(*[F.lit(x) for x in names])
-    pairs = t.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("total"))
-    return pairs.select(F.get(n, F.col("i")).alias("name"), F.round("total", 4).alias("total"))
+    pairs = t.select("seq_id", F.posexplode("features").alias("i", "v")).where("v <> 0")
+    return pairs.select("seq_id", F.get(n, F.col("i")).alias("name"), F.round("v", 6).alias("value"))
 
 
-def _flank_totals(sides: str, label: str, n: int, maxk: int) -> str:
-    return f"""fl as ({sides}), ks as (select unnest(range(1, {maxk} + 1)) as k), cell as (select tag, f, k, unnest(range(0, {n} + 1 - k)) as i from fl, ks),
-kmers as (select k, a || case when k = 2 then b else '' end as kmer from ks, (select unnest(['A','C','G','T']) as a), (select unnest(['A','C','G','T']) as b) group by all),
-tot as (select tag, i, k, substr(f, (i + 1)::int, k::int) as kmer, count(*) as n from cell group by all),
-miss as (select tag, i, k, sum(n) filter (where length(kmer) < k) as lost from tot group by all)
-select m.tag || '_{label}_pos' || m.i || '_' || q.kmer as name, coalesce(t.n, 0)::double - coalesce(m.lost, 0)::double as total from miss m join kmers q using (k) left join tot t on t.tag = m.tag and t.i = m.i and t.k = m.k and t.kmer = q.kmer"""
+def _flank_values(sides: str, label: str, n: int, maxk: int) -> str:
+    return f"""fl as ({sides}), ks as (select unnest(range(1, {maxk} + 1)) as k), cell as (select seq_id, tag, k, i, substr(f, (i + 1)::int, k::int) as here from (select seq_id, tag, f, k, unnest(range(0, {n} + 1 - k)) as i from fl, ks)),
+kmers as (select k, a || case when k = 2 then b else '' end as kmer from ks, (select unnest(['A','C','G','T']) as a), (select unnest(['A','C','G','T']) as b) group by all)
+select seq_id, c.tag || '_{label}_pos' || c.i || '_' || q.kmer as name, case when length(here) < c.k then -1.0::double else 1.0::double end as value from cell c join kmers q using (k) where length(here) < c.k or here = q.kmer"""
 
 
-@query(f"""with {ROWS_SQL}, {_flank_totals('''select 's1' as tag, case when site_str_pos < site_wk_pos then substr("Sequence", site_str_pos + 1, 3) else reverse(substr("Sequence", site_str_pos - 2, 3)) end as f from rows
- union all select 's2', case when site_str_pos < site_wk_pos then reverse(substr("Sequence", site_wk_pos - 2, 3)) else substr("Sequence", site_wk_pos + 1, 3) end from rows''', 'inner', 3, 2)}""")
+@query(f"""with {ROWS_SQL}, {_flank_values('''select seq_id, 's1' as tag, case when site_str_pos < site_wk_pos then substr("Sequence", site_str_pos + 1, 3) else reverse(substr("Sequence", site_str_pos - 2, 3)) end as f from rows
+ union all select seq_id, 's2', case when site_str_pos < site_wk_pos then reverse(substr("Sequence", site_wk_pos - 2, 3)) else substr("Sequence", site_wk_pos + 1, 3) end from rows''', 'inner', 3, 2)}""")
 def inner_flank_features(spark, sf_dir):
-    """Inner flank one-hot features, summed over all rows (tag by column, direction by side)."""
-    return _totals(rows(spark, sf_dir), {"sequence_in": {"seqin": 3, "poscols": POS, "smode": "relative"}})
+    """Inner flank one-hot features of every row (tag by column, direction by side)."""
+    return _values(rows(spark, sf_dir), {"sequence_in": {"seqin": 3, "poscols": POS, "smode": "relative"}})
 
 
-@query(f"""with {ROWS_SQL}, {_flank_totals('''select 's1' as tag, reverse(substr("Sequence", p1 - 3, 4)) as f from rows union all select 's2', substr("Sequence", p2 + 1, 4) from rows''', 'outer', 4, 1)}""")
+@query(f"""with {ROWS_SQL}, {_flank_values('''select seq_id, 's1' as tag, reverse(substr("Sequence", p1 - 3, 4)) as f from rows union all select seq_id, 's2', substr("Sequence", p2 + 1, 4) from rows''', 'outer', 4, 1)}""")
 def outer_flank_features(spark, sf_dir):
-    """Outer flank one-hot features, summed over all rows."""
-    return _totals(rows(spark, sf_dir), {"sequence_out": {"seqin": -4, "poscols": ("p1", "p2"), "smode": "positional", "maxk": 1}})
+    """Outer flank one-hot features of every row."""
+    return _values(rows(spark, sf_dir), {"sequence_out": {"seqin": -4, "poscols": ("p1", "p2"), "smode": "positional", "maxk": 1}})
 
 
-@query(f"""with {ROWS_SQL}, {_flank_totals('''select 'toright' as tag, substr("Sequence", ((p1 + p2) // 2 + 1)::int, 3) as f from rows union all select 'toleft', substr("Sequence", ((p1 + p2) // 2 - 2)::int, 3) from rows''', 'linker', 3, 1)}""")
+@query(f"""with {ROWS_SQL}, {_flank_values('''select seq_id, 'toright' as tag, substr("Sequence", ((p1 + p2) // 2 + 1)::int, 3) as f from rows union all select seq_id, 'toleft', substr("Sequence", ((p1 + p2) // 2 - 2)::int, 3) from rows''', 'linker', 3, 1)}""")
 def linker_features(spark, sf_dir):
-    """One-hot features around the middle of the linker, summed over all rows."""
-    return _totals(rows(spark, sf_dir), {"sequence_linker": {"seqin": 3, "poscols": ("p1", "p2"), "smode": "linker", "maxk": 1}})
+    """One-hot features around the middle of the linker of every row."""
+    return _values(rows(spark, sf_dir), {"sequence_linker": {"seqin": 3, "poscols": ("p1", "p2"), "smode": "linker", "maxk": 1}})
 
 
 # ---------------------------------------------------------------- shape
@@ -113,26 +112,25 @@ cells as (select seq_id, 'ProT' as shape, i + 2 as pos, ((code * 7) % 13)::doubl
 shapes as (select seq_id, shape, pos, avg(v) as value from cells group by all)"""
 
 
-@query(f"""with {fx.DNA_SQL}, {SHAPE_SQL} select shape, pos, count(*) as n, round(avg(value), 6) as mean, round(min(value), 6) as low, round(max(value), 6) as high from shapes group by all""")
+@query(f"""with {fx.DNA_SQL}, {SHAPE_SQL} select seq_id, shape, count(*) as n, round(sum(value), 4) as total, round(sum(value * (pos + 1)), 4) as by_place from shapes group by all""")
 def shape_tracks(spark, sf_dir):
-    """Shape tracks of all probes, summed up by shape and position."""
-    t = sh.shape_tracks(fx.dna(spark, sf_dir), pentamers(spark))
-    g = t.groupBy("shape", "pos").agg(F.count(F.lit(1)).alias("n"), *[F.round(f("value"), 6).alias(a) for f, a in ((F.avg, "mean"), (F.min, "low"), (F.max, "high"))])
-    return _big(g, "pos")
+    """Shape tracks of all probes: per probe and shape the number of values, their sum and their sum weighted by place."""
+    t = sh.shape_tracks(fx.dna(spark, sf_dir), pentamers(spark), ft.SHAPES)
+    weighted = F.sum(F.col("value") * (F.col("pos") + 1))
+    return t.groupBy("seq_id", "shape").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(weighted, 4).alias("by_place"))
 
 
 def _shaped(spark, sf_dir):
-    t = sh.track_arrays(sh.shape_tracks(fx.dna(spark, sf_dir), pentamers(spark)), fx.dna(spark, sf_dir), ("MGW", "Roll"))
-    return rows(spark, sf_dir).join(t, "seq_id")
+    return rows(spark, sf_dir).join(sh.track_arrays(fx.dna(spark, sf_dir), pentamers(spark), ("MGW", "Roll")), "seq_id")
 
 
 @query(f"""with {ROWS_SQL}, {SHAPE_SQL}, want as (select seq_id, 'MGW_inner_s1_pos_' || i as name, 'MGW' as shape, p1 + i as pos from rows, (select unnest([0, 1]) as i) union all select seq_id, 'MGW_inner_s2_pos_' || i, 'MGW', p2 - i from rows, (select unnest([0, 1]) as i)
  union all select seq_id, 'Roll_outer_s1_pos_' || i, 'Roll', p1 - i from rows, (select unnest([1, 2]) as i) union all select seq_id, 'Roll_outer_s2_pos_' || i, 'Roll', p2 + i - 1 from rows, (select unnest([1, 2]) as i))
-select name, round(sum(coalesce(value, -999.0::double)), 3) as total from want left join shapes using (seq_id, shape, pos) group by 1""")
+select seq_id, name, round(coalesce(value, -999.0::double), 6) as value from want left join shapes using (seq_id, shape, pos) where coalesce(value, -999.0::double) <> 0""")
 def shape_features(spark, sf_dir):
-    """Inner and outer shape features, summed over all rows."""
+    """Inner and outer shape features of every row."""
     spec = {"shape_in": {"seqin": 2, "poscols": ("p1", "p2"), "shapes": ("MGW",)}, "shape_out": {"seqin": -2, "poscols": ("p1", "p2"), "shapes": ("Roll",)}}
-    return _totals(_shaped(spark, sf_dir), spec).withColumn("total", F.round("total", 3))
+    return _values(_shaped(spark, sf_dir), spec)
 
 
 @query(f"""with {ROWS_SQL}, {SHAPE_SQL}, o as (select *, (['+/+', '+/-', '-/+'])[(seq_id % 3 + 1)::int] as ori from rows),
@@ -140,12 +138,12 @@ want as (select seq_id, 'MGW_head_s1_pos_' || i as name, case ori when '+/+' the
  union all select seq_id, 'MGW_head_s2_pos_' || i, case ori when '+/+' then p2 + i when '+/-' then p2 - i else p2 + i end from o, (select unnest([0, 1]) as i)
  union all select seq_id, 'MGW_tail_s1_pos_' || i, case ori when '+/+' then p1 - 1 - i when '+/-' then p1 - 1 - i else p1 + 1 + i end from o, (select unnest([0, 1]) as i)
  union all select seq_id, 'MGW_tail_s2_pos_' || i, case ori when '+/+' then p2 - 1 - i when '+/-' then p2 + i else p2 - 1 - i end from o, (select unnest([0, 1]) as i))
-select name, round(sum(coalesce(value, -999.0::double)), 3) as total from want w left join shapes s on s.seq_id = w.seq_id and s.pos = w.pos and s.shape = 'MGW' group by 1""")
+select w.seq_id, name, round(coalesce(value, -999.0::double), 6) as value from want w left join shapes s on s.seq_id = w.seq_id and s.pos = w.pos and s.shape = 'MGW' where coalesce(value, -999.0::double) <> 0""")
 def shape_by_orientation(spark, sf_dir):
-    """Shape features toward the heads and tails of the sites, summed over all rows."""
+    """Shape features toward the heads and tails of the sites of every row."""
     d = _shaped(spark, sf_dir).withColumn("orientation", F.element_at(F.array(F.lit("+/+"), F.lit("+/-"), F.lit("-/+")), (F.col("seq_id") % 3 + 1).cast("int")))
     p = {"poscols": ("p1", "p2"), "shapes": ("MGW",), "direction": "orientation"}
-    return _totals(d, {"shape_head": {"seqin": 2, **p}, "shape_tail": {"seqin": -2, **p}}).withColumn("total", F.round("total", 3))
+    return _values(d, {"shape_head": {"seqin": 2, **p}, "shape_tail": {"seqin": -2, **p}})
 
 
 @query(f"""with {fx.DNA_SQL}, c as (select length(seq) as len, i as pos, substr(seq, (i + 1)::int, 1) as base, count(*) as n from (select seq, unnest(range(0, length(seq))) as i from dna) group by all) select len, pos, base, n from c""")
@@ -173,10 +171,16 @@ def modal_site_positions(spark, sf_dir):
     return _big(a.groupBy("distance", "label", "mode_s1", "mode_s2").agg(F.count(F.lit(1)).alias("size")), "distance", "mode_s1", "mode_s2")
 
 
-@query()
+@query(f"""with {ROWS_SQL}, f as (select *, length("Sequence") as len, least(p1, p2) as s1, greatest(p1, p2) as s2 from rows where distance > (select min(distance) from rows)),
+g as (select distance, label, len, s1, count(*) as n from f group by all), m as (select distance, label, len, max_by(s1, (n, -s1)) as mode_s1 from g group by all having sum(n) > 1),
+al as (select seq_id, distance, label, len, mode_s1 - s1 as mv, "Sequence" as q from f join m using (distance, label, len)),
+letters_at as (select distance, label, len as length, p as pos, case when p - mv between 0 and len - 1 then substr(q, (p - mv + 1)::int, 1)
+  else substr('ACGT', ((strpos('0123456789abcdef', substr(md5(seq_id || '-0-' || case when mv > 0 then p + 1 else p - len + least(abs(mv), len) + 1 end), 1, 1)) - 1) % 4 + 1)::int, 1) end as base from (select *, unnest(range(0, len)) as p from al))
+{WEIGHT_SQL('distance, label, length')}""")
 def motif_report(spark, sf_dir):
-    """Motif weights of aligned sequences per distance and label (the filled letters come from a hash)."""
-    return sh.motif_report(rows(spark, sf_dir).where("length(Sequence) = 36"), ["distance", "label"], *POS)
+    """Motif weights of aligned sequences per distance, label and length (the filled letters come from a hash)."""
+    m = sh.motif_report(rows(spark, sf_dir), ["distance", "label"], *POS)
+    return _big(m.select("distance", "label", "length", "pos", *[F.round(b, 7).alias(b) for b in "ACGT"]), "distance", "length", "pos")
 
 
 @query(f"""with {fx.TRACKS_SQL} select label, pos::bigint as pos, round(quantile_cont(value, 0.25), 7) as q25, round(quantile_cont(value, 0.5), 7) as median, round(quantile_cont(value, 0.75), 7) as q75 from tracks where value is not null group by all""")
@@ -231,14 +235,16 @@ def correlation_row(spark, sf_dir):
 
 
 @query(f"""with {ROWS_SQL}, m as (select 'n' || seq_id as "Name", (seq_id % 17)::double as low, (seq_id % 29)::double as high from dna)
-select "Name", (high - low)::float::double as delta, (site_wk_score)::float::double as site_wk_score, length("Sequence") - 1 as n_codes from rows join m using ("Name") where label = 'cooperative'""")
+select "Name", (high - low)::float::double as delta, (site_wk_score)::float::double as site_wk_score,
+ array_to_string(list_transform(range(1, length("Sequence")), lambda i: (instr('ATCG', substr("Sequence", i::int, 1)) - 1) * 4 + instr('ATCG', substr("Sequence", (i + 1)::int, 1)) - 1), ',') as codes
+from rows join m using ("Name") where label = 'cooperative'""")
 def sequence_tensor(spark, sf_dir):
     """k-mer codes with measured effect and scores for cooperative rows."""
     r = rows(spark, sf_dir)
     i = F.regexp_extract("Name", "([0-9]+)", 1).cast("bigint")
     m = r.select("Name").withColumn("low", (i % 17).cast("double")).withColumn("high", (i % 29).cast("double"))
     t = ft.sequence_tensor(tr.with_effect(r, m, "high", "low", "cooperative"), 2, ("site_wk_score",))
-    return t.select("Name", F.col("delta").cast("double").alias("delta"), F.col("site_wk_score").cast("double").alias("site_wk_score"), F.size("codes").cast("bigint").alias("n_codes"))
+    return t.select("Name", F.col("delta").cast("double").alias("delta"), F.col("site_wk_score").cast("double").alias("site_wk_score"), F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
 
 
 # ---------------------------------------------------------------- folds, scores, grids
@@ -294,15 +300,19 @@ def partial_auc(spark, sf_dir):
 
 
 @query("""with g as (select c_custkey as file, o_orderkey as state, (o_totalprice % 100)::double / 100.0::double as t from orders join customer on o_custkey = c_custkey),
-a as (select 'task_' || file as file_path, list(round(t, 6) order by state) as means, count(*) as n, avg(t) as m, stddev_samp(t) as s from g group by 1)
-select file_path, round(case when n > 1 then m else 0 end, 6) as cv_r2_mean, round(case when n > 1 then s else 0 end, 6) as cv_r2_mean_std, n from a""")
+a as (select 'task_' || file as file_path, list(round(t, 6) order by state) as means, min(state) as first_state, count(*) as n, avg(t) as m, stddev_samp(t) as s from g group by 1)
+select file_path, array_to_string(list_transform(means, lambda x: printf('%.6f', x)), ',') as cv_r2_means, array_to_string(list_transform(means, lambda x: printf('%.6f', x + 1)), ',') as cv_r2_train_means,
+ round(case when n > 1 then m else 0 end, 6) as cv_r2_mean, round(case when n > 1 then s else 0 end, 6) as cv_r2_mean_std, first_state, first_state % 7 as batch_size from a""")
 def consolidated_results(spark, sf_dir):
     """Result entries of each task merged into one row."""
     o = fx.table(spark, sf_dir, "orders")
     t = (F.col("o_totalprice") % 100) / 100.0
-    logs = o.select(F.concat(F.lit("task_"), F.col("o_custkey").cast("string")).alias("file_path"), F.col("o_orderkey").alias("random_state"), t.alias("cv_test_r2_mean"), F.array(t, t).alias("cross_validation_train_r2"))
+    logs = o.select(F.concat(F.lit("task_"), F.col("o_custkey").cast("string")).alias("file_path"), F.col("o_orderkey").alias("entry"), (F.col("o_orderkey") % 7).alias("batch_size"),
+                    t.alias("cv_test_r2_mean"), F.array(t + 0.5, t + 1.5).alias("cross_validation_train_r2"))
     c = md.consolidate(logs)
-    return c.select("file_path", F.round("cv_r2_mean", 6).alias("cv_r2_mean"), F.round("cv_r2_mean_std", 6).alias("cv_r2_mean_std"), F.size("cv_r2_means").cast("bigint").alias("n"))
+    text = lambda a: F.array_join(F.transform(a, lambda x: F.format_string("%.6f", F.round(x, 6))), ",")
+    return c.select("file_path", text("cv_r2_means").alias("cv_r2_means"), text("cv_r2_train_means").alias("cv_r2_train_means"), F.round("cv_r2_mean", 6).alias("cv_r2_mean"),
+                    F.round("cv_r2_mean_std", 6).alias("cv_r2_mean_std"), F.col("entry").alias("first_state"), "batch_size")
 
 
 # ---------------------------------------------------------------- fitted models

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from probeweave.functions.skew import grouped_percentiles
+from probeweave.functions.skew import HOT_ROWS, grouped_percentiles, limit_if_hot
 from probeweave.operators import ranktest, replicates as R
 from probeweave.plans import fixtures as fx
 from probeweave.plans.registry import query
@@ -94,7 +94,9 @@ def rank_sum_test(spark, sf_dir):
     """Wild type against replicate combinations: U and all three p-values."""
     p = fx.probes(spark, sf_dir)
     long = R.wild_type_values(p).withColumn("two", F.lit(True)).unionByName(R.replicate_contrasts(p).withColumn("two", F.lit(False)))
-    t = ranktest.rank_sum(long, R.KEYS, F.col("two"), "value", "weight").where("m > 0 and n > 0")
+    # a cell of n readings has at most (n / 3)^3 combinations; only larger cells are measured
+    limit = limit_if_hot(p, R.KEYS, 300) and HOT_ROWS
+    t = ranktest.rank_sum(long, R.KEYS, F.col("two"), "value", "weight", limit).where("m > 0 and n > 0")
     return t.select("Name", "ori", "m", "n", "u", *[F.round(c, 7).alias(c) for c in ("p_greater", "p_less", "p_two_sided")])
 
 

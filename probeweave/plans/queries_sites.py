@@ -67,11 +67,12 @@ def clipped_sites(spark, sf_dir):
 
 
 @query(f"""with {fx.DNA_SQL}, {fx.PEAKS_ONLY_SQL},
-probes36 as (select distinct seq as probe from dna where length(seq) = 36), w as (select distinct seq_id, substr(seq, (i + 1)::int, 36) as probe from (select seq_id, seq, unnest(range(0, length(seq) - 35)) as i from peaks))
-select probe, seq_id from w join probes36 using (probe)""")
+probes_all as (select distinct seq as probe from dna where length(seq) > 0), lens as (select distinct length(probe) as n from probes_all),
+w as (select distinct seq_id, substr(seq, (i + 1)::int, n::int) as probe from (select seq_id, seq, n, unnest(range(0, length(seq) - n + 1)) as i from peaks, lens where length(seq) >= n))
+select probe, seq_id from w join probes_all using (probe)""")
 def contained_probes(spark, sf_dir):
-    """Which full-length probes occur in which peaks?"""
-    probes = fx.dna(spark, sf_dir).where("length(seq) = 36").select(F.col("seq").alias("probe"))
+    """Which probes occur in which peaks?"""
+    probes = fx.dna(spark, sf_dir).select(F.col("seq").alias("probe"))
     return intervals.contained_probes(probes, fx.peaks(spark, sf_dir))
 
 

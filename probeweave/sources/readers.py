@@ -106,9 +106,16 @@ def read_keyed_lists(spark: SparkSession, path: str) -> DataFrame:
     return parse_keyed_lists(spark.read.option("lineSep", ">").text(path))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result logs (a JSON list per task file) with the file they came from."""
-    return spark.read.schema(RESULTS).json(path, multiLine=True).withColumn("file_path", F.input_file_name())
+def read_results(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
+    """Result logs with the file they came from: a file is one JSON list, or one record per line.
+
+    A file is read whole: a task's log holds one record per run of the task.
+    """
+    files = spark.read.text(path, wholetext=True).withColumn("file_path", F.input_file_name())
+    parts = F.when(F.ltrim("value").startswith("["), F.array("value")).otherwise(F.split("value", "\n"))
+    texts = files.select("file_path", F.posexplode(parts).alias("line", "text")).where("trim(text) <> ''")
+    rows = texts.select("file_path", "line", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("place", "r"))
+    return rows.select("r.*", "file_path", (F.col("line") + F.col("place")).alias("entry"))
 
 
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:

@@ -55,4 +55,5 @@ def write_pwm(table: DataFrame, path: str) -> None:
 
 
 def append_results(df: DataFrame, path: str) -> None:
+    """Add records to a log folder, one per line, as ``read_results`` reads them."""
     df.write.mode("append").json(path)
