@@ -78,6 +78,12 @@ def affinity(*, colnames: tuple[str, ...] = ("site_wk_score", "site_str_score"))
     return [(c, F.col(c).cast("double")) for c in colnames]
 
 
+def site_scores(df: DataFrame, sites: DataFrame, key: str = "seq_id", weak: str = "site_wk_score", strong: str = "site_str_score") -> DataFrame:
+    """Rows whose sequence has exactly two called sites, with the lower and the higher score of the two."""
+    pair = sites.groupBy(F.col("seq_id").alias(key)).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias(weak), F.max("score").alias(strong)).where("_n = 2")
+    return df.join(pair.drop("_n"), key)
+
+
 def _flank(seq: Column, start: Column, end: Column) -> Column:
     """Letters of [start, end) cut at the right end; none when it starts before the sequence."""
     return F.when(start < 0, F.lit("")).otherwise(F.substring(seq, start + 1, end - start))

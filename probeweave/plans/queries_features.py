@@ -15,6 +15,7 @@ from probeweave.operators import training as tr
 from probeweave.plans import fixtures as fx
 from probeweave.plans.queries_scan import _big
 from probeweave.plans.registry import query
+from probeweave.session import checkpointed
 from probeweave.plans.sql_blocks import rank_sum_sql
 
 ROWS_SQL = f"""{fx.DNA_SQL}, rows as (select seq_id, 'n' || seq_id as "Name", seq as "Sequence", p1, p2, case when seq_id % 2 = 0 then p1 else p2 end as site_str_pos, case when seq_id % 2 = 0 then p2 else p1 end as site_wk_pos,
@@ -322,32 +323,52 @@ def _training(spark, sf_dir):
     return t
 
 
+POINTS = {"numTrees": [10], "maxDepth": [2, 4], "minInstancesPerNode": [5]}  # the grids of the analysis are in models.py; a run of them all takes hours
+
+
 @query()
 def grid_search_forest(spark, sf_dir):
-    """Cross-validated grid of small forests with AUC by rank-sum; fitted trees have no SQL counterpart."""
-    t = md.as_vectors(md.assign_folds(_training(spark, sf_dir), "doc_id", 3, 1, "label"))
-    return md.grid_search(t, RandomForestClassifier(seed=1), {"numTrees": [5], "maxDepth": [2, 4]}, 3)
+    """Ten-fold cross-validated grid of forests with AUC by rank-sum; fitted trees have no SQL counterpart."""
+    t = md.as_vectors(md.assign_folds(_training(spark, sf_dir), "doc_id", 10, 1, "label"))
+    return md.grid_search(t, RandomForestClassifier(seed=1), POINTS, 10)
 
 
 @query()
 def tree_depth_models(spark, sf_dir):
-    """Decision trees of two depths compared on one fold split."""
-    t = md.as_vectors(md.assign_folds(_training(spark, sf_dir), "doc_id", 2, 1, "label"))
-    r = md.grid_search(t, DecisionTreeClassifier(seed=1), {"maxDepth": [1, 3]}, 2, "pr")
+    """The best of the decision trees of depths 1 to 8 by average precision, on one fold split."""
+    t = md.as_vectors(md.assign_folds(_training(spark, sf_dir), "doc_id", 5, 1, "label"))
+    r = md.grid_search(t, DecisionTreeClassifier(seed=1), {"maxDepth": md.TREE_DEPTHS}, 5, "pr")
     return md.best_point(r)
 
 
+COLUMNS = {"pos": POS, "directions": ("str_ori", "wk_ori"), "scores": ("site_str_score", "site_wk_score")}
+
+
+def _labelled(spark, sf_dir):
+    return rows(spark, sf_dir).where("label in ('cooperative', 'independent')").withColumn("label", ft.numeric_label())
+
+
+@query()
+def model_sets(spark, sf_dir):
+    """The six feature sets of the one-factor models, each with its best forest on shared folds."""
+    return md.run_model_set(_labelled(spark, sf_dir), "one_factor", RandomForestClassifier(seed=1), COLUMNS, 3, grid={"numTrees": [5], "maxDepth": [3]})
+
+
 @query()
 def oriented_model_scores(spark, sf_dir):
-    """Rows scored by the model of their orientation."""
-    t = md.as_vectors(_training(spark, sf_dir)).withColumn("orientation", F.when(F.col("doc_id") % 2 == 0, "+/+").otherwise("+/-")).persist()
-    models = {o: LogisticRegression(maxIter=5).fit(t.where(F.col("orientation") == o)) for o in ("+/+", "+/-")}
-    return md.score_by_orientation(t, models).select("doc_id", "orientation", "prediction", "probability")
+    """Rows scored on distance and shape features by the model of their orientation."""
+    d = _shaped(spark, sf_dir).where("label in ('cooperative', 'independent')")
+    ori = ft.relative_orientation(*[F.when(F.col("site_str_pos") < F.col("site_wk_pos"), F.col(a)).otherwise(F.col(b)) for a, b in (("str_ori", "wk_ori"), ("wk_ori", "str_ori"))])
+    spec = {"distance": {}, "shape_in": {"seqin": 2, "poscols": ("p1", "p2"), "shapes": ("MGW",)}, "shape_out": {"seqin": -2, "poscols": ("p1", "p2"), "shapes": ("Roll",)}}
+    t, _ = ft.training_vectors(d.withColumn("orientation", ori).withColumn("label", ft.numeric_label()), spec, ["seq_id", "orientation", "label"])
+    t = checkpointed(md.as_vectors(t))
+    models = {o: LogisticRegression().fit(t.where(F.col("orientation") == o)) for o in ("+/+", "+/-", "-/+")}
+    return md.score_by_orientation(t, models).select("seq_id", "orientation", "prediction", "probability")
 
 
 @query()
 def repeated_regression_r2(spark, sf_dir):
-    """Repeated cross-validation of a regression forest on the standardised target."""
+    """A regression task's record: grid search and repeated cross-validation of a forest on the standardised target."""
     t = _training(spark, sf_dir).withColumn("delta", F.element_at("features", 3))
     t = md.as_vectors(md.standardise(t.withColumn("features", F.slice("features", 1, 2)), "delta"))
-    return md.repeated_r2(t, RandomForestRegressor(labelCol="delta", numTrees=5, maxDepth=4, seed=1), "doc_id", (1,), 2)
+    return md.regression_record(t, RandomForestRegressor(seed=1), {"numTrees": [5], "maxDepth": [2, 4]}, "doc_id", "n_chars,words", (1, 2), 5)

@@ -17,7 +17,10 @@ def rounded(df: DataFrame, digits: int = 3) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns])
 
 
-def write_table(df: DataFrame, path: str, sep: str = ",", digits: int | None = None, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, sep: str = ",", digits: int | None = None, mode: str = "overwrite", sort: list[tuple[str, bool]] | None = None) -> None:
+    """``sort`` lists (column, ascending); files in name order then hold the rows in that order."""
+    if sort:
+        df = df.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in sort])
     (rounded(df, digits) if digits is not None else df).write.mode(mode).csv(path, header=True, sep=sep)
 
 
@@ -40,8 +43,8 @@ def write_keyed_lists(df: DataFrame, path: str, key: str, values: str) -> None:
 
 
 def write_by_group(df: DataFrame, path: str, groups: list[str], line: str) -> None:
-    """One folder of text per group, e.g. distance, orientation and label."""
-    df.select(*groups, F.col(line).alias("value")).write.mode("overwrite").partitionBy(*groups).text(path)
+    """One folder per group, e.g. distance, orientation and label, with one text file: a group is written by one task."""
+    df.select(*groups, F.col(line).alias("value")).repartition(*groups).write.mode("overwrite").partitionBy(*groups).text(path)
 
 
 def pwm_lines(table: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def test_center_pair(spark):
 
 def test_contained_probes(spark, seqs, texts):
     probes = [t[3:15] for t in texts if len(t) > 20][:30] + ["ACGTACGTACGTACG"]
-    got = intervals.contained_probes(spark.createDataFrame([(p,) for p in probes], "probe string"), seqs, 12, 20)
+    got = intervals.contained_probes(spark.createDataFrame([(p,) for p in probes], "probe string"), seqs, 12)
     assert {tuple(r) for r in got.collect()} == {(p, i) for p in probes for i, t in enumerate(texts) if p in t}
 
 
@@ -190,7 +190,7 @@ def test_site_removal(spark, seqs, texts):
     plain = [(i, t) for i, t in enumerate(texts) if len(t) >= 30 and brute_sites(t)][:25]
     few = spark.createDataFrame(plain, "seq_id long, seq string")
     scan = lambda d: kmer_sites.call_sites(d, model(spark))
-    got = {r.seq_id: r for r in abolish.abolish_sites(few, scan(few), [0], table_df, 6, scan, threshold=0.4, max_steps=30).collect()}
+    got = {r.seq_id: r for r in abolish.abolish_sites(few, scan(few), [0], table_df, 6, scan, threshold=0.4).collect()}
     for i, t in plain:
         seq, pos, status = brute_remove(t, table, 6, 0.4)
         assert (got[i].seq, got[i].positions, got[i].removed) == (seq, pos, int(status == "removed"))

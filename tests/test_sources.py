@@ -74,3 +74,56 @@ def test_missing_marker_and_grid(spark):
     g = models.config_grid(spark, {"num_layers": [1, 2], "mers": [1, 2], "kernel_widths": [[4, 8], [3]]})
     assert g.count() == 8 and {r.kernel_widths for r in g.where("num_layers = 2").collect()} == {"4,3", "8,3"}
     assert len(models.grid_points(models.FOREST_GRID)) == 27
+
+
+def test_result_log_round_trip(spark, tmp_path):
+    rows = [(7, i, "one", 0.1 * i, [0.5, 0.6 + i], "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "random_seed long, random_state int, experiment string, cv_test_r2_mean double, cross_validation_train_r2 array<double>, num_layers string")
+    writers.append_results(df.coalesce(1), str(tmp_path / "log"))
+    writers.append_results(df.limit(1), str(tmp_path / "log"))
+    got = readers.read_results(spark, str(tmp_path / "log"))
+    assert got.count() == 4
+    assert sorted(tuple(r) for r in got.select(*df.columns).collect()) == sorted(tuple(r) for r in [*df.collect(), *df.limit(1).collect()])
+    one = models.consolidate(got).where("size(cv_r2_means) = 3").first()
+    assert (one.random_seed, one.experiment, one.num_layers, one.cv_r2_means) == (7, "one", "x", [0.0, 0.1, 0.2])
+
+
+def test_tables_round_trip(spark, tmp_path):
+    clean_rows = spark.createDataFrame([("a", "ACGT", 1.2344, "wt", "r1", "o1"), ("b", "GG", None, "m1", "r2", "o2")], readers.CLEAN)
+    writers.write_table(clean_rows, str(tmp_path / "c"), digits=3, sort=[("Name", False)])
+    got = readers.read_clean(spark, str(tmp_path / "c"))
+    assert {(r.Name, r.intensity, r.ori) for r in got.collect()} == {("a", 1.234, "o1"), ("b", None, "o2")}
+    files = sorted(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part"))
+    assert [line.split(",")[0] for f in files for line in f.read_text().splitlines()[1:]] == ["b", "a"]
+    labelled = spark.createDataFrame([("a", "AC", "cooperative", 0.1, "x", 0.2, "y"), ("a", "AC", "cooperative", 0.1, "x", 0.2, "y"), ("a", "AA", "independent", 0.3, "x", 0.2, "y")], readers.LABELLED)
+    writers.write_table(labelled, str(tmp_path / "l"), sep="\t")
+    assert readers.read_labelled(spark, str(tmp_path / "l"), "\t").count() == 2
+    assert [r.Sequence for r in readers.read_labelled(spark, str(tmp_path / "l"), "\t", once_per="Name").collect()] == ["AA"]
+
+
+def test_model_and_peak_files(spark, tmp_path):
+    p = put(tmp_path / "k.tsv", "kmer\tkposition\tEscore\nAGGA\t3\t0.4\nAGGA\t4\t0.5\n")
+    k = readers.read_kmer_alignment(spark, p)
+    assert [(r.kmer, r.kposition, r.escore) for r in k.orderBy("row_no").collect()] == [("AGGA", 3, 0.4), ("AGGA", 4, 0.5)] and readers.kmer_length(k) == 4
+    p = put(tmp_path / "p.tsv", "sequence\tpileup_score\tsite_count\nACGT\t1.5\t2\n")
+    assert [tuple(r) for r in readers.read_peaks(spark, p).collect()] == [("ACGT", 1.5, 2)]
+    p = put(tmp_path / "c.json", '{"one": {"labeled_data_path": "a.csv", "training_data_path": "b.csv"}}')
+    assert [tuple(r) for r in readers.read_config(spark, p).collect()] == [("one", "a.csv", "b.csv")]
+
+
+def test_sequence_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ACG"), (2, "TT")], "seq_id int, seq string")
+    writers.write_fasta(df, str(tmp_path / "f"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "f").glob("part*")))
+    assert sorted(text.split(">")[1:]) == ["1\nACG\n", "2\nTT\n"]
+    table = spark.createDataFrame([("A", 0, 1.0), ("A", 1, -1.5), ("C", 0, 0.0), ("C", 1, 2.0)], "base string, offset int, score double")
+    writers.write_pwm(table, str(tmp_path / "p"))
+    files = [p.read_text() for p in (tmp_path / "p").glob("part*")]
+    assert files == ["A:\t1.0\t-1.5\nC:\t0.0\t2.0\n"]
+
+
+def test_one_file_for_each_group(spark, tmp_path):
+    df = spark.range(100).selectExpr("id % 3 as distance", "cast(id % 2 as string) as label", "cast(id as string) as s").repartition(8)
+    writers.write_by_group(df, str(tmp_path / "g"), ["distance", "label"], "s")
+    assert sorted(len(list(d.glob("part*"))) for d in (tmp_path / "g").glob("*/*")) == [1] * 6
+    assert spark.read.text(str(tmp_path / "g")).count() == 100
