@@ -44,7 +44,7 @@ ESCAPE, RUN = 0, 1
 CUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 SHORTEST_RUN = 61
 #: Words remembered in a task before the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 BLOCK_SCHEMA = "file_no int, block_no int, first_id long, n_ids long, doc_ids array<long>, offsets array<long>, words binary"
 
@@ -56,16 +56,22 @@ def pack(ids: np.ndarray) -> bytes:
     if not n:
         return b""
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
+    bits = _bits(padded)
     # For every place the first cut (most ids in a word) that holds all ids from there on; places past the end hold zeros.
     cut = np.full(n, len(CUTS), dtype=np.int8)
     for k in range(len(CUTS) - 1, -1, -1):
-        count, bits = CUTS[k]
-        large = np.concatenate(([0], np.cumsum(padded >> np.uint64(bits) != 0, dtype=np.int32)))
-        cut[large[count : count + n] == large[:n]] = k
+        count, width = CUTS[k]
+        fits, have = bits <= width, 1  # fits[i]: the ``have`` ids from i on are small enough
+        while have < count:
+            more = min(have, count - have)
+            fits = fits[:-more] & fits[more:]
+            have += more
+        np.putmask(cut, fits[:n], k)
     counts = np.array([c for c, _ in CUTS] + [1])
     step = counts[cut]
     border = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
-    long_runs = {int(a): int(b - a) for a, b in zip(border[:-1], border[1:]) if b - a >= SHORTEST_RUN and int(ids[a]) < 2**32} if (np.diff(border) >= SHORTEST_RUN).any() else {}
+    long = np.flatnonzero((np.diff(border) >= SHORTEST_RUN) & (ids[border[:-1]] < 2**32))
+    long_runs = dict(zip(border[long].tolist(), (border[long + 1] - border[long]).tolist()))
     jump, starts, at = step.tolist(), [], 0
     if long_runs:
         while at < n:
@@ -94,6 +100,16 @@ def pack(ids: np.ndarray) -> bytes:
     return np.insert(word, raw + 1, ids[at[raw]]).astype("<u8").tobytes()
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bits that each id needs."""
+    if int(ids.max()) < 2**52:
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    out = np.zeros(len(ids), dtype=np.uint8)
+    for width in range(64):
+        out += (ids >> np.uint64(width) != 0).astype(np.uint8)
+    return out
+
+
 def unpack(words: bytes, n: int) -> np.ndarray:
     """The first ``n`` ids of packed words."""
     word = np.frombuffer(words, dtype="<u8")
@@ -136,8 +152,8 @@ class WordEncoder:
     #: The tokenizer's pattern, for characters below U+0180 (fixed values).
     LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
     PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
-    #: İ grows when it is lower-cased; \x1c to \x1f are white space to Python alone.
-    OTHER = re.compile("[^\x00-\x1b\x20-įı-ſ]|<\\|")
+    #: \x1c to \x1f are white space to Python alone.
+    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -158,12 +174,17 @@ class WordEncoder:
             found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(plain)], dtype="<u4").tobytes()
         return found
 
+    @staticmethod
+    def _beyond(raw: bytes) -> bool:
+        """Is there a character from U+0180 on (its first byte is at least C6), or U+0130, which grows in lower case?"""
+        return int(np.frombuffer(raw, np.uint8).max()) >= 0xC6 or b"\xc4\xb0" in raw
+
     def encode(self, text: str | None) -> bytes:
         """All ids of a text and the end id."""
         end = END_ID.to_bytes(4, "little")
         if not text:
             return end
-        if self.OTHER.search(text):
+        if any(x in text for x in self.ODD) or not text.isascii() and self._beyond(text.encode()):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
         if len(self.words) >= REMEMBERED:
             self.words.clear()
