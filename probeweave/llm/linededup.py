@@ -141,7 +141,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     by_key = steps.write(by_key.filter("_cut > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies", F.col("_gone.gone").alias("_gone")))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
     marked = docs.select(*columns, F.xxhash64(text).alias("_key"))
-    joined = marked.join(by_key, marked[doc_id].eqNullSafe(by_key["_id"]) & (F.col("_key") == F.col("_hash")), "left")
+    # Deletions grow with the documents, so they are dealt by key at every size; the hash table is that of one partition's deletions.
+    joined = marked.join(by_key.hint("shuffle_hash"), marked[doc_id].eqNullSafe(by_key["_id"]) & (F.col("_key") == F.col("_hash")), "left")
     single = joined.filter("_copies is null or _copies = 1").withColumn("_lines", F.col("_gone")[0])
     # Rows of one key are fully equal in id and text.
     number = F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.lit(0)))
