@@ -109,9 +109,9 @@ def training_rows(seqs: DataFrame, sites: DataFrame) -> DataFrame:
 
     On equal scores the right site is the strong one.
     """
-    s = F.array_sort(F.collect_list(F.struct("core_mid", "score")))
-    two = sites.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), s.alias("s")).where("n = 2")  # at most one site per position
-    left, right = F.col("s")[0], F.col("s")[1]
+    site = F.struct("core_mid", "score")
+    two = sites.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.min(site).alias("left"), F.max(site).alias("right")).where("n = 2")
+    left, right = F.col("left"), F.col("right")
     first = left["score"] > right["score"]
     strong, weak = F.when(first, left).otherwise(right), F.when(first, right).otherwise(left)
     rows = two.select("seq_id", (right["core_mid"] - left["core_mid"]).alias("distance"), weak.alias("w"), strong.alias("t"))

@@ -9,7 +9,7 @@ from probeweave.operators import training as tr
 from probeweave.operators import window_model as wm
 from probeweave.plans import fixtures as fx
 from probeweave.plans.queries_scan import _big, core4, core5, pwm10, pwm9, pwm_sql, scored_sites_sql, sites_sql
-from probeweave.plans.queries_sites import two_models
+from probeweave.plans.queries_sites import _SCORE, _models, _windows_sql, two_models
 from probeweave.plans.registry import query
 
 _P10, _P9 = pwm10(), pwm9()
@@ -78,13 +78,17 @@ def two_factor_training(spark, sf_dir):
     return t.select("seq_id", F.round("four_score", 3).alias("four_score"), F.round("five_score", 3).alias("five_score"), "orientation")
 
 
-@query()
+@query(f"""with {fx.DNA_SQL}, {_windows_sql('dna')}, sc as (select seq_id, i, variant, win, {_SCORE} + 0.1::double as raw from cm),
+b as (select seq_id, i, max(raw) as raw from sc group by all), k as (select seq_id, i + 6 as mid, 1 / (1 + exp(-raw)) as score from b where 1 / (1 + exp(-raw)) > 0.5),
+two as (select seq_id, min(mid) as lm, arg_min(score, mid) as ls, max(mid) as rm, arg_max(score, mid) as rs from k group by 1 having count(*) = 2)
+select seq_id, seq as sequence, rm - lm as distance, round(case when ls > rs then rs else ls end, 6) as site_wk_score, case when ls > rs then rm else lm end as site_wk_pos,
+ round(case when ls > rs then ls else rs end, 6) as site_str_score, case when ls > rs then lm else rm end as site_str_pos from two join dna using (seq_id)""")
 def window_training_rows(spark, sf_dir):
-    """Two-site training rows from the window model (rows only; the scores are checked elsewhere)."""
-    from probeweave.plans.queries_sites import _models
-
+    """Two-site training rows from the window model."""
     d = fx.dna(spark, sf_dir)
-    return wm.training_rows(d, wm.predict(d, _models(spark), 0.5))
+    t = wm.training_rows(d, wm.predict(d, _models(spark), 0.5))
+    t = t.withColumn("site_wk_score", F.round("site_wk_score", 6)).withColumn("site_str_score", F.round("site_str_score", 6))
+    return _big(t, "distance", "site_wk_pos", "site_str_pos")
 
 
 # ---------------------------------------------------------------- mutants
