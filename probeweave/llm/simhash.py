@@ -20,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,36 +191,43 @@ def near_links(distinct: DataFrame, fp: str = "fp", bits: int = MAX_BITS) -> Dat
     return met.mapInArrow(verify, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links of ``bits`` bits."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS, row_hash: Column | None = None) -> DataFrame:
+    """(doc_id, row_hash, fp, class, component_id) for every row.
+
+    component_id is the smallest doc_id reachable over links of ``bits`` bits, ``class`` the smallest fingerprint of the
+    group, which names groups without a doc_id too. ``row_hash`` tells rows apart (by default by doc_id and text).
+    """
     steps = Steps(docs.sparkSession, "simhash")
-    printed = steps.write(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", shingle))
+    known = F.xxhash64(doc_id, text) if row_hash is None else row_hash
+    rows = docs.select(F.col(doc_id).alias("doc_id"), known.alias("row_hash"), F.col(text).alias("text"))
+    printed = steps.write(fingerprints(rows, ["doc_id", "row_hash"], "text", shingle))
     distinct = steps.write(printed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = steps.write(near_links(distinct, "fp", bits))
     classes = connected_components(links, steps)  # (node, component) of every linked fingerprint
-    ids = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    ids = steps.write(ids)
-    least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = ids.join(least, "component").select("fp", "component_id")
-    return printed.join(known, "fp").select("doc_id", "fp", "component_id")
+    ids = steps.write(distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class")))
+    least = ids.groupBy("class").agg(F.min("first").alias("component_id"))
+    return printed.join(ids.join(least, "class").select("fp", "class", "component_id"), "fp").select("doc_id", "row_hash", "fp", "class", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group stays: the one with the smallest doc_id.
+    """The rows of ``docs`` that stay when one row of each group stays: the one with the smallest doc_id, null last.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id stay only in groups that hold no other.
+    Among rows with that doc_id the smallest hash of all columns wins; of fully equal rows one stays.
     """
     steps = Steps(docs.sparkSession, "simhash-keep")
     columns = docs.columns
-    marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in columns]))
-    found = near_duplicates(docs, doc_id, text)
-    chosen = steps.write(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"), "component_id").agg(F.min("fp").alias("_fp")))
-    ids = chosen.select("_id")
-    left = marked.join(ids, marked[doc_id].eqNullSafe(ids["_id"]), "left_semi")
-    one = left.groupBy(doc_id).agg(F.min_by(F.struct(*columns), "_row").alias("_one"))
-    return one.select(*[F.col(f"_one.{c}").alias(c) for c in columns])
-
-
-def hex_digits(fp) -> F.Column:
+    whole = F.xxhash64(*[F.col(c) for c in columns])
+    found = near_duplicates(docs, doc_id, text, row_hash=whole)
+    rows = found.groupBy("class", "doc_id", "row_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash", "n")).alias("first"))
+    chosen = steps.write(first.select(F.col("first.doc_id").alias("_id"), F.col("first.row_hash").alias("_hash"), F.col("first.n").alias("_n")))
+    # What stays grows with the documents, so it is dealt by key; the hash table is one partition's part of it.
+    kept = docs.withColumn("_row", whole).join(chosen.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash")))
+    number = F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    once = kept.filter("_n > 1").withColumn("_number", number).filter("_number = 1")
+    return kept.filter("_n = 1").select(*columns).union(once.select(*columns))
+
+
+def hex_digits(fp: Column) -> Column:
     """A signed long as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

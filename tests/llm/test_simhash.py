@@ -82,7 +82,9 @@ def test_keep_first(spark):
     table = docs(spark, [(5, text, "en", "a"), (2, text, None, "b"), (2, text, None, "b"), (None, text), (9, "something else entirely is written in this one", "en", "c"), (None, "no id and no other row like this one here")])
     kept = simhash.keep_first(table)
     assert kept.columns == table.columns
-    assert [r[0] for r in rows(kept, "doc_id", "text")] == [None, 2, 9]
+    assert [r[:2] for r in rows(kept, "doc_id", "text")] == [(None, "no id and no other row like this one here"), (2, text), (9, "something else entirely is written in this one")]
+    twice = docs(spark, [(None, text)] * 3 + [(None, "another text of which there is one row only"), (4, ""), (4, None)])
+    assert sorted((r[1] or "") for r in rows(simhash.keep_first(twice), "doc_id", "text")) == ["", "another text of which there is one row only", text]
 
 
 def test_long_chain_of_components(spark):
