@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from probeweave.functions.seq import revcomp
+from probeweave.session import checkpointed
 
 PROBE_LENGTH = 36
 ROWS_PER_NAME = 24  # 4 types x 2 orientations x 3 replicates
@@ -76,19 +77,37 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def similarity_bound(a: Column, b: Column) -> Column:
+    """Never below the ratio: twice the letters the two strings could share, by how often each letter stands in both."""
+    count = lambda s, x: F.length(s) - F.length(F.replace(s, F.lit(x)))
+    known = [(count(a, x), count(b, x)) for x in "ACGT"]
+    shared = sum((F.least(p, q) for p, q in known), F.lit(0))
+    other = F.least(F.length(a) - sum((p for p, _ in known), F.lit(0)), F.length(b) - sum((q for _, q in known), F.lit(0)))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * (shared + other) / total)
+
+
 def similar_sequences(df: DataFrame, top: int = SIMILAR, salts: int = 16) -> DataFrame:
     """For each wild-type sequence of a name its most similar sequences of the same name.
 
     Runs on distinct sequences; the wild-type side is salted, so one name's comparisons
-    spread over tasks. Ties go to the smaller sequence. Columns: Name, wt, Sequence, ratio.
+    spread over tasks. The ratio is taken of the ``top`` pairs with the highest bound, then
+    of those whose bound reaches the lowest of these ratios; no other pair can be among the
+    best. Ties go to the smaller sequence. Columns: Name, wt, Sequence, ratio.
     """
     seqs = df.select("Name", "Sequence").distinct()
     wt = df.where("type = 'wt'").select("Name", F.col("Sequence").alias("wt")).distinct()
     wt = wt.withColumn("_salt", F.pmod(F.xxhash64("wt"), F.lit(salts)).cast("int"))
     copies = seqs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = wt.join(copies, ["Name", "_salt"]).withColumn("ratio", similarity("wt", "Sequence"))
+    pairs = wt.join(copies, ["Name", "_salt"]).withColumn("bound", similarity_bound(F.col("wt"), F.col("Sequence")))
+    place = F.row_number().over(W.partitionBy("Name", "wt").orderBy(F.desc("bound"), "Sequence"))
+    pairs = pairs.select("Name", "wt", "Sequence", "bound", place.alias("_n"))
+    first = checkpointed(pairs.where(F.col("_n") <= top).withColumn("ratio", similarity("wt", "Sequence")))
+    least = first.groupBy("Name", "wt").agg(F.min("ratio").alias("least"))
+    rest = pairs.where(F.col("_n") > top).join(least, ["Name", "wt"]).where(F.col("bound") >= F.col("least") - 1e-9).withColumn("ratio", similarity("wt", "Sequence"))
+    columns = ["Name", "wt", "Sequence", "ratio"]
     best = F.row_number().over(W.partitionBy("Name", "wt").orderBy(F.desc("ratio"), "Sequence"))
-    return pairs.withColumn("_n", best).where(F.col("_n") <= top).select("Name", "wt", "Sequence", "ratio")
+    return first.select(*columns).unionByName(rest.select(*columns)).withColumn("_n", best).where(F.col("_n") <= top).select(*columns)
 
 
 def regroup_duplicates(df: DataFrame, expected: int = ROWS_PER_NAME) -> DataFrame:

@@ -64,13 +64,18 @@ def pwm_sql(matrix: dict, window: str) -> str:
     return "(" + " + ".join(cell(j) for j in range(n)) + ")"
 
 
+def turned(matrix: dict) -> dict:
+    """The matrix read along the other strand: the partner base's values from the far end."""
+    return {base: tuple(matrix[partner][i] for i in range(len(matrix[partner]) - 1, -1, -1)) for base, partner in zip("ACGT", "TGCA")}
+
+
 def scored_sites_sql(src: str, sites: str, p: pwm.Pwm, width: int, out: str, tf: str) -> str:
     flank = (p.length - width) // 2
     return f"""
 {out}_w as (select t.*, case when core_start >= {flank} and core_start + {width + flank} <= length(seq)
       then substr(seq, (core_start - {flank} + 1)::int, {p.length}) end as win
     from {sites} t join {src} s using (seq_id)),
-{out}_s as (select *, {pwm_sql(p.forward, 'win')} as f, {pwm_sql(p.reverse, 'win')} as r from {out}_w),
+{out}_s as (select *, {pwm_sql(p.forward, 'win')} as f, {pwm_sql(turned(p.forward), 'win')} as r from {out}_w),
 {out}_a as (select *, min(case when win is null then 0 else 1 end) over (partition by seq_id) as ok from {out}_s),
 {out} as (select seq_id, strand, site_start, site_width, core_start, core_width, core_mid, core_mid as pos,
     case when f > r then f else r end as score, case when f > r then 1 else -1 end as ori, '{tf}' as tf from {out}_a where ok = 1)"""
@@ -105,7 +110,7 @@ _P = pwm10()
 
 @query(f"""with {fx.DNA_SQL}, w as (select seq_id, pos, substr(seq, (pos+1)::int, 10) as win from (
   select seq_id, seq, unnest(range(0, length(seq) - 9)) as pos from dna)),
-s as (select *, {pwm_sql(_P.forward, 'win')} as f, {pwm_sql(_P.reverse, 'win')} as r from w)
+s as (select *, {pwm_sql(_P.forward, 'win')} as f, {pwm_sql(turned(_P.forward), 'win')} as r from w)
 select seq_id, pos as site_start, 10::bigint as site_width, round(case when f > r then f else r end, 6) as score,
   case when f > r then 1 else -1 end::bigint as orientation, win as site_seq from s where greatest(f, r) > 0""")
 def pwm_scan(spark, sf_dir):

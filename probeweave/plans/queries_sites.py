@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from probeweave.functions import seq as S
 from probeweave.operators import escore, intervals, kmer_sites, pwm, window_model as wm
 from probeweave.plans import fixtures as fx
-from probeweave.plans.queries_scan import _big, core4, core5, pwm10, pwm9, pwm_sql, scored_sites_sql, sites_sql
+from probeweave.plans.queries_scan import _big, core4, core5, pwm10, pwm9, pwm_sql, scored_sites_sql, sites_sql, turned
 from probeweave.plans.registry import query
 from probeweave.sources import readers
 
@@ -78,7 +78,7 @@ def contained_probes(spark, sf_dir):
 
 _P10, _P9 = pwm10(), pwm9()
 PWM_HITS = lambda src: f"""pw as (select seq_id, i, substr(seq, (i + 1)::int, 10) as win from (select seq_id, seq, unnest(range(0, length(seq) - 9)) as i from {src})),
-ps as (select seq_id, i, greatest(f, r) as score from (select *, {pwm_sql(_P10.forward, 'win')} as f, {pwm_sql(_P10.reverse, 'win')} as r from pw) where greatest(f, r) > 0)"""
+ps as (select seq_id, i, greatest(f, r) as score from (select *, {pwm_sql(_P10.forward, 'win')} as f, {pwm_sql(turned(_P10.forward), 'win')} as r from pw) where greatest(f, r) > 0)"""
 
 
 @query(f"""with {fx.DNA_SQL}, {PWM_HITS('dna')} select seq_id, 5 + seq_id % 23 as pos, (select round(min_by(score, i), 6) from ps where ps.seq_id = dna.seq_id and 5 + dna.seq_id % 23 > i - 2 and 5 + dna.seq_id % 23 < i - 2 + 10) as strength from dna""")
@@ -197,17 +197,41 @@ def radial_model_sites(spark, sf_dir):
 FLANKED = """flanked as (select seq_id, seq as body, substr(seq, greatest(length(seq) - 9, 1), 10) || seq || substr(reverse(translate(seq, 'ACGT', 'TGCA')), 1, 10) as seq, least(length(seq), 10) as lead from dna)"""
 
 
+def _extended(spark, sf_dir):
+    d = fx.dna(spark, sf_dir).withColumn("l", F.col("seq")).withColumn("r", S.revcomp("seq"))
+    return wm.with_flanks(readers.sequence_table(d, "seq_id", "seq", "l", "r"), 10)
+
+
 @query(f"""with {fx.DNA_SQL}, {FLANKED}, {fx.CORE4_SQL}, {sites_sql('flanked', 'core4', fx.CORE4, 'sites4')}
 select seq_id, strand, site_start - lead as site_start, core_start - lead as core_start, core_mid - lead as core_mid, run_score from sites4 join flanked using (seq_id)
  where core_start - lead >= 0 and core_start - lead + core_width <= length(body)""")
 def flank_extended_sites(spark, sf_dir):
     """Sites called with ten bases of flank on each side, kept when their core lies in the probe."""
-    d = fx.dna(spark, sf_dir).withColumn("l", F.col("seq")).withColumn("r", S.revcomp("seq"))
-    ext = wm.with_flanks(readers.sequence_table(d, "seq_id", "seq", "l", "r"), 10)
+    ext = _extended(spark, sf_dir)
     s = wm.drop_flank_sites(kmer_sites.call_sites(ext, core4(spark)), ext)
     return _big(s.select("seq_id", "strand", "site_start", "core_start", "core_mid", "run_score"), "site_start", "core_start", "core_mid")
 
 
+@query(f"""with {fx.DNA_SQL}, {FLANKED}, {_windows_sql('flanked')}, sc as (select seq_id, i, variant, win, {_SCORE} + 0.1::double as raw from cm), b as (select seq_id, i, max(raw) as raw from sc group by all)
+select seq_id, i - lead as site_start, i + 4 - lead as core_start, i + 6 - lead as core_mid, round(1 / (1 + exp(-raw)), 6) as score from b join flanked using (seq_id)
+ where 1 / (1 + exp(-raw)) > 0.6 and i + 4 >= lead and i + 8 - lead <= length(body)""")
+def flank_extended_window_sites(spark, sf_dir):
+    """Window-model sites of probes extended by their flanks, kept when their core lies in the probe."""
+    ext = _extended(spark, sf_dir)
+    s = wm.drop_flank_sites(wm.predict(ext, _models(spark), 0.6), ext)
+    return _big(s.select("seq_id", "site_start", "core_start", "core_mid", F.round("score", 6).alias("score")), "site_start", "core_start", "core_mid")
+
+
+@query(f"""with {fx.DNA_SQL}, {FLANKED}, {PROFILE_SQL.format(src='flanked')} select ep.seq_id, count(*) as n, round(sum(score), 6) as total, round(sum(score * (i - lead)), 4) as by_place
+from ep join flanked using (seq_id) where i + {(K + 1) // 2} - lead between 0 and length(body) - 1 group by 1""")
+def flank_extended_profile(spark, sf_dir):
+    """Score profile of probes extended by their flanks, on the positions of the probe: values, sum, sum weighted by place."""
+    ext = _extended(spark, sf_dir)
+    p = escore.profile(ext, _table(spark), K).join(ext.select("seq_id", "lead", "body"), "seq_id")
+    p = p.withColumn("at", F.col("start_idx") - F.col("lead")).where(f"at + {(K + 1) // 2} between 0 and body - 1")
+    return p.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.sum(F.col("score") * F.col("at")), 4).alias("by_place"))
+
+
 # ---------------------------------------------------------------- two factors
 TWO = f"""{fx.CORE4_SQL}, {fx.CORE5_SQL}, {sites_sql('peaks', 'core4', fx.CORE4, 'sites4')}, {sites_sql('peaks', 'core5', fx.CORE5, 'sites5')},
 {scored_sites_sql('peaks', 'sites4', _P10, 4, 'scored4', 'four')}, {scored_sites_sql('peaks', 'sites5', _P9, 5, 'scored5', 'five')},

@@ -8,7 +8,7 @@ from probeweave.operators import mutants as M
 from probeweave.operators import training as tr
 from probeweave.operators import window_model as wm
 from probeweave.plans import fixtures as fx
-from probeweave.plans.queries_scan import _big, core4, core5, pwm10, pwm9, pwm_sql, scored_sites_sql, sites_sql
+from probeweave.plans.queries_scan import _big, core4, core5, pwm10, pwm9, pwm_sql, scored_sites_sql, sites_sql, turned
 from probeweave.plans.queries_sites import _SCORE, _models, _windows_sql, two_models
 from probeweave.plans.registry import query
 
@@ -22,7 +22,7 @@ def positions_sql(src: str, out: str) -> str:
 {out}_p as (select seq_id, min((core_mid, strand, run_score, core_start)) as l, max((core_mid, strand, run_score, core_start)) as r from {out}_s group by 1 having count(*) = 2),
 {out}_x as (select seq_id, seq, l[4] as ls, r[4] as rs from {out}_p join {src} using (seq_id)),
 {out}_w as (select *, case when ls >= 3 and ls + 7 <= length(seq) then substr(seq, (ls - 2)::int, 10) end as lw, case when rs >= 3 and rs + 7 <= length(seq) then substr(seq, (rs - 2)::int, 10) end as rw from {out}_x),
-{out}_f as (select *, {pwm_sql(_P10.forward, 'lw')} as lf, {pwm_sql(_P10.reverse, 'lw')} as lr, {pwm_sql(_P10.forward, 'rw')} as rf, {pwm_sql(_P10.reverse, 'rw')} as rr from {out}_w where lw is not null and rw is not null),
+{out}_f as (select *, {pwm_sql(_P10.forward, 'lw')} as lf, {pwm_sql(turned(_P10.forward), 'lw')} as lr, {pwm_sql(_P10.forward, 'rw')} as rf, {pwm_sql(turned(_P10.forward), 'rw')} as rr from {out}_w where lw is not null and rw is not null),
 {out}_q as (select seq_id, seq, ls + 2 as lp, rs + 2 as rp, greatest(lf, lr) as lsc, greatest(rf, rr) as rsc, case when lf > lr then 1 else 0 end as lo, case when rf > rr then 1 else 0 end as ro, substr(seq, (ls + 1)::int, 4) as lc, substr(seq, (rs + 1)::int, 4) as rc from {out}_f),
 {out} as (select seq_id, seq as "Sequence", rp - lp as distance, (case lo when 1 then '+' else '-' end) || '/' || (case ro when 1 then '+' else '-' end) as orientation,
   case when lsc < rsc then rp else lp end as site_str_pos, case when lsc < rsc then lp else rp end as site_wk_pos, round(greatest(lsc, rsc), 6) as site_str_score, round(least(lsc, rsc), 6) as site_wk_score,
@@ -67,7 +67,7 @@ def flipped_reverse_pairs(spark, sf_dir):
 
 @query(f"""with {fx.DNA_SQL}, b as (select seq_id, seq, instr(seq, 'GGAA') - 1 as four_start, instr(seq, 'GTGGT') - 1 as five_start from dna where instr(seq, 'GGAA') > 0 and instr(seq, 'GTGGT') > 0),
 w as (select *, case when four_start >= 3 and four_start + 7 <= length(seq) then substr(seq, four_start - 2, 10) end as w4, case when five_start >= 2 and five_start + 7 <= length(seq) then substr(seq, five_start - 1, 9) end as w5 from b),
-s as (select *, {pwm_sql(_P10.forward, 'w4')} as f4, {pwm_sql(_P10.reverse, 'w4')} as r4, {pwm_sql(_P9.forward, 'w5')} as f5, {pwm_sql(_P9.reverse, 'w5')} as r5 from w where w4 is not null and w5 is not null)
+s as (select *, {pwm_sql(_P10.forward, 'w4')} as f4, {pwm_sql(turned(_P10.forward), 'w4')} as r4, {pwm_sql(_P9.forward, 'w5')} as f5, {pwm_sql(turned(_P9.forward), 'w5')} as r5 from w where w4 is not null and w5 is not null)
 select seq_id, round(greatest(f4, r4), 3) as four_score, round(greatest(f5, r5), 3) as five_score, (case when f4 > r4 then '+' else '-' end) || '/' || (case when f5 > r5 then '+' else '-' end) as orientation from s""")
 def two_factor_training(spark, sf_dir):
     """Scores and orientation at known starts of two factors."""
