@@ -9,6 +9,7 @@ import datetime
 import decimal
 import math
 import os
+import tempfile
 import sys
 import time
 
@@ -66,7 +67,7 @@ def main(argv):
     sf = argv[0] if argv else "0.01"
     only = argv[1:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='oracle-')}"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
