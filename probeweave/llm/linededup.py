@@ -120,6 +120,7 @@ def later_copies(seqs: DataFrame, steps: Steps, min_chars: int = MIN_CHARS) -> D
             keyed = keyed.withColumn("second", F.col("rank"))
         keyed = steps.write(keyed.select("seq", "p", "d", "rank", "second"))
         firsts = keyed.groupBy("d", "rank", "second").agg(F.min(F.struct("seq", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        firsts = steps.write(firsts)  # a table of its own, so that Spark may split the join's large partitions
         later = keyed.join(firsts, ["d", "rank", "second"]).filter(F.struct("seq", "p") > F.col("first")).select("seq", "p", "d")
         out = out.union(steps.write(later))
     return out
