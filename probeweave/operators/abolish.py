@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from probeweave.functions.seq import BASES, replace_span
+from probeweave.operators.escore import _table as model_table
 from probeweave.session import StepTables, checkpointed
 
 Scanner = Callable[[DataFrame], DataFrame]
@@ -60,7 +61,7 @@ def best_kmer(state: DataFrame, table: DataFrame, k: int, barrier: int = 1, keep
     w = w.where(~F.exists("others", lambda o: (F.col("mid") >= o["lo"] - barrier) & (F.col("mid") < o["hi"] + barrier)))
     if keep_out:
         w = w.where(~((F.col("mid") >= keep_out[0]) & (F.col("mid") < keep_out[1])))
-    scored = w.select("row_id", "start_idx", "kmer").join(F.broadcast(table.select("kmer", "score")), "kmer")  # 4^k rows
+    scored = w.select("row_id", "start_idx", "kmer").join(model_table(table.select("kmer", "score"), k), "kmer")
     best = scored.groupBy("row_id").agg(F.max(F.struct("score", (-F.col("start_idx")).alias("neg"), "kmer")).alias("b"))
     return best.select("row_id", F.col("b.kmer").alias("kmer"), (-F.col("b.neg")).alias("start_idx"), F.col("b.score").alias("score"))
 
@@ -82,7 +83,7 @@ def eliminate_site(state: DataFrame, table: DataFrame, k: int, scanner: Scanner,
     (status "removed"), or when no k-mer is left ("stuck", with no positions reported). A k-mer
     is tried once at each place, so every row ends. Returns row_id, seq, positions, status.
     """
-    variants = F.broadcast(weakest_variants(table, k))
+    variants = model_table(weakest_variants(table, k), k)
     start = state.withColumn("ignored", F.array().cast("array<string>")).withColumn("positions", F.array().cast("array<int>")).withColumn("present", F.lit(True))
     n0 = scanner(start.select(F.col("row_id").alias("seq_id"), "seq")).groupBy(F.col("seq_id").alias("row_id")).agg(F.count(F.lit(1)).alias("n0"))
     steps = StepTables(state.sparkSession)

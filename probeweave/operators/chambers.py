@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probeweave.functions.rows import single_row
 from probeweave.functions.skew import HOT_ROWS, grouped_percentiles
 from probeweave.operators.ranktest import rank_sum
 from probeweave.session import checkpointed
@@ -54,7 +55,7 @@ def normalisation(x: DataFrame, y: DataFrame, scanner: Scanner, hot_rows: int |
 
 def normalise(df: DataFrame, fit: DataFrame, value: str = "intensity") -> DataFrame:
     """(value - intercept) / slope, keeping the measured value as ``unnormalized_<value>``."""
-    one = F.broadcast(fit.select("slope", "intercept"))  # one row
+    one = single_row(fit, "slope", "intercept")
     out = df.crossJoin(one).withColumn(f"unnormalized_{value}", F.col(value))
     return out.withColumn(value, (F.col(value) - F.col("intercept")) / F.nullif(F.col("slope"), F.lit(0.0))).drop("slope", "intercept")
 
@@ -115,7 +116,7 @@ def chamber_tests(pairs: DataFrame, cutoff: DataFrame, pcut: float = 0.015, pamb
     t = rank_sum(pairs, keys, F.col("side") == "y", "intensity", "weight", hot_rows=hot_rows, medians=True)
     t = t.withColumnRenamed("x_median", "intensity_y").withColumnRenamed("y_median", "intensity_x")
     raw = grouped_percentiles(pairs.where("side = 'y'"), keys, "unnormalized_intensity", {"unnormalized_intensity": 0.5}, weight="weight", hot_rows=hot_rows)
-    t = t.join(raw, keys).crossJoin(F.broadcast(cutoff.select("cutoff")))  # one row
+    t = t.join(raw, keys).crossJoin(single_row(cutoff, "cutoff"))
     above = (F.col("intensity_x") > F.col("cutoff")) | (F.col("intensity_y") > F.col("cutoff"))
     label = call_chamber_label(F.col("p_greater"), F.col("p_less"), pcut, pambig)
     return t.select(

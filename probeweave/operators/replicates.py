@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probeweave.functions.rows import single_row
 from probeweave.functions.skew import HOT_ROWS, by_heat, grouped_percentiles
 from probeweave.operators.ranktest import benjamini_hochberg, rank_sum
 from probeweave.session import checkpointed
@@ -123,7 +124,7 @@ def orientation_tests(probes: DataFrame, cutoff: DataFrame, hot_rows: int = HOT_
         lambda p: tests(p, replicate_contrasts(p, name_rows=name_rows), hot_rows),
         name_rows,
     )
-    t = t.crossJoin(F.broadcast(cutoff.select("cutoff")))  # one row
+    t = t.crossJoin(single_row(cutoff, "cutoff"))
     return t.withColumn("fails", (F.col("two_median") < F.col("cutoff")) | (F.col("m3_median") > F.col("cutoff")))
 
 

@@ -133,3 +133,12 @@ def test_scores_from_called_sites(spark):
     df = spark.createDataFrame([(1,), (2,)], "seq_id int")
     sites = spark.createDataFrame([(1, 0.5), (1, 0.2), (2, 0.1)], "seq_id int, score double")
     assert [tuple(r) for r in features.site_scores(df, sites).collect()] == [(1, 0.2, 0.5)]
+
+
+def test_cutoff_of_two_rows_is_refused(spark):
+    import pytest
+    from probeweave.functions.rows import single_row
+
+    assert single_row(spark.createDataFrame([(0.5,)], "cutoff double"), "cutoff").first().cutoff == 0.5
+    with pytest.raises(Exception, match="one row expected, found 2"):
+        single_row(spark.createDataFrame([(0.5,), (0.6,)], "cutoff double"), "cutoff").collect()
