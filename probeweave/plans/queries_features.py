@@ -184,6 +184,18 @@ def motif_report(spark, sf_dir):
     return _big(m.select("distance", "label", "length", "pos", *[F.round(b, 7).alias(b) for b in "ACGT"]), "distance", "length", "pos")
 
 
+@query(f"""with {ROWS_SQL}, {SHAPE_SQL}, f as (select *, length("Sequence") as len, least(p1, p2) as s1 from rows where distance > (select min(distance) from rows)),
+g as (select distance, label, len, s1, count(*) as n from f group by all), m as (select distance, label, len, max_by(s1, (n, -s1)) as mode_s1 from g group by all having sum(n) > 1),
+al as (select seq_id, distance, label, len as length, mode_s1 - s1 as mv from f join m using (distance, label, len)),
+moved as (select distance, label, length, shape, pos + mv as pos, value from al join shapes using (seq_id))
+select distance, label, length, shape, pos, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.75), 6) as q75 from moved group by all""")
+def shape_report(spark, sf_dir):
+    """Quartiles of the aligned shape tracks per distance, label, length, shape and position."""
+    tracks = sh.shape_tracks(fx.dna(spark, sf_dir), pentamers(spark), ft.SHAPES)
+    q = sh.shape_report(rows(spark, sf_dir), tracks, ["distance"], *POS)[1]
+    return _big(q.select("distance", "label", "length", "shape", "pos", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")]), "distance", "length", "pos")
+
+
 @query(f"""with {fx.TRACKS_SQL} select label, pos::bigint as pos, round(quantile_cont(value, 0.25), 7) as q25, round(quantile_cont(value, 0.5), 7) as median, round(quantile_cont(value, 0.75), 7) as q75 from tracks where value is not null group by all""")
 def position_percentiles(spark, sf_dir):
     """Quartiles of the tracks per label and position."""

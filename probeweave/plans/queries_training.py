@@ -10,7 +10,7 @@ from probeweave.operators import window_model as wm
 from probeweave.plans import fixtures as fx
 from probeweave.plans.queries_scan import _big, core4, core5, pwm10, pwm9, pwm_sql, scored_sites_sql, sites_sql, turned
 from probeweave.plans.queries_sites import _SCORE, _models, _windows_sql, two_models
-from probeweave.plans.registry import query
+from probeweave.plans.registry import SQL, query
 
 _P10, _P9 = pwm10(), pwm9()
 
@@ -162,6 +162,13 @@ def flank_mutants(spark, sf_dir):
     return _mut(M.flank_mutants(pairs, models))
 
 
+@query(f"select * from ({SQL['core_mutants']}) union all select * from ({SQL['flank_mutants']})")
+def strength_mutants(spark, sf_dir):
+    """Core and flank mutants together."""
+    pairs, models = _pairs(spark, sf_dir)
+    return _mut(M.strength_mutants(pairs, models, CORES))
+
+
 MOVE_MUTS = """muts as (select seq_id as id, seq_id || ':move-' || mv as seq_id, substr(seq, 1, (st2 - mv)::int) || substr(seq, (st2 + 1)::int) || substr(seq, (st2 - mv + 1)::int, mv::int) as seq
   from tw, lateral (select unnest(range(1, least(p2 - p1 - 5, st2 - st1 - w1) + 1)) as mv))"""
 
