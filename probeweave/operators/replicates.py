@@ -16,7 +16,7 @@ from probeweave.operators.ranktest import benjamini_hochberg, rank_sum
 from probeweave.session import checkpointed
 
 KEYS = ["Name", "ori"]
-SALTS = 32
+TASK_READINGS = 1_000  # distinct readings of a name that one task combines with the other side's
 NAME_ROWS = 500  # a name with more spots has its readings merged before they are combined
 
 
@@ -27,7 +27,8 @@ def replicate_contrasts(probes: DataFrame, value: str = "intensity", name_rows:
     ``weight`` is the number of triples giving the value. The assay has a few replicates
     per type, so an ordinary name is joined directly (weight 1 per triple). A name with very
     many replicates is first merged to its distinct readings and again after every step, and
-    its readings are salted over tasks; the cost then follows the number of distinct readings.
+    its readings are salted over as many tasks as they need; the cost then follows the number of
+    distinct combinations.
     """
 
     def sides(part: DataFrame):
@@ -40,11 +41,17 @@ def replicate_contrasts(probes: DataFrame, value: str = "intensity", name_rows:
 
     def hot(part: DataFrame) -> DataFrame:
         a, b, c = [s.groupBy(*KEYS, t).agg(F.count(F.lit(1)).alias(f"w_{t}")) for s, t in zip(sides(part), ("m1", "m2", "m3"))]
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        spread = lambda d, c_: d.withColumn("salt", F.pmod(F.xxhash64(c_), F.lit(SALTS)).cast("int"))
-        ab = spread(a, "m1").join(b.select("*", salt), [*KEYS, "salt"])
+
+        def combine(many: DataFrame, reading: str, few: DataFrame) -> DataFrame:
+            """Join on the name, with as many salts as the name's readings on the ``many`` side need."""
+            salts = many.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / TASK_READINGS).alias("salts"))
+            left = many.join(salts, KEYS).withColumn("salt", F.pmod(F.xxhash64(reading), F.col("salts"))).drop("salts")
+            right = few.join(salts, KEYS).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts")
+            return left.join(right, [*KEYS, "salt"]).drop("salt")
+
+        ab = combine(a, "m1", b)
         ab = ab.groupBy(*KEYS, (F.col("m1") + F.col("m2")).alias("ab")).agg(F.sum(F.col("w_m1") * F.col("w_m2")).alias("w"))
-        abc = spread(ab, "ab").join(c.select("*", salt), [*KEYS, "salt"])
+        abc = combine(ab, "ab", c)
         return abc.groupBy(*KEYS, (F.col("ab") - F.col("m3")).alias("value")).agg(F.sum(F.col("w") * F.col("w_m3")).alias("weight"))
 
     src = probes.select(*KEYS, "type", value).where(F.col(value).isNotNull())
