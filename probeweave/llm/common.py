@@ -39,10 +39,11 @@ class Steps:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, number: int) -> None:
-        """Delete the folder of one earlier step, which nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{number}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *numbers: int) -> None:
+        """Delete the folders of earlier steps, which nothing reads any more."""
+        for number in numbers:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{number}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:

@@ -141,12 +141,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
 
     parts = source.mapInArrow(bundle, "lang string, bundle array<long>")
     summed = parts.select("lang", F.posexplode("bundle").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
-    summed = Steps(labelled.sparkSession, "languages").write(summed)
+    steps = Steps(labelled.sparkSession, "languages")
+    summed = steps.write(summed)
     if (languages := summed.filter("place = 0").count()) > MAX_LANGUAGES:
         raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} are learned")
     out: dict[str, np.ndarray] = {}
     for row in summed.toLocalIterator():
         out.setdefault(row["lang"], np.zeros(dimensions))[row["place"]] = row["x"]
+    steps.drop(1)
     return out
 
 

@@ -154,6 +154,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     pieces = max(1, -(-total[0] // (shards * range_bytes)))  # ranges in a shard
     wanted = [total[0] * j // (shards * pieces) for j in range(1, shards * pieces)]
     cuts = find_splitters(keys, wanted, total, ids, int(tolerance * total[0] / shards / pieces)) if total[1] else []
+    steps.drop(1)
     # Range r begins at cut r; its shard, and the rows of that shard before it.
     bounds = [(0, 0, 0), *cuts]
     probes = [_key(c[0]) for c in cuts if c[0] < SPAN**3]  # a cut past all keys has nothing behind it

@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = steps.write(near_links(distinct, "fp", bits))
     classes = connected_components(links, steps)  # (node, component) of every linked fingerprint
     ids = steps.write(distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class")))
+    steps.drop(*range(2, steps.count))  # all but the fingerprints and this table
     least = ids.groupBy("class").agg(F.min("first").alias("component_id"))
     return printed.join(ids.join(least, "class").select("fp", "class", "component_id"), "fp").select("doc_id", "row_hash", "fp", "class", "component_id")
 
