@@ -35,7 +35,7 @@ from probeweave.llm.common import Steps, pieces
 
 MIN_CHARS = 100
 #: Ranges into which the values that order an interval are cut; sets parallelism, never results.
-RANGES = 65_536
+RANGES = 4_096
 
 
 def _ranked(counted: DataFrame, group: list[str], by: str, bucket, start) -> DataFrame:
@@ -69,7 +69,7 @@ def suffix_ranks(seqs: DataFrame, steps: Steps, depth: int | None = None):
         return
     lines = seqs.select("seq", F.size("lines").alias("many"), F.posexplode("lines").alias("p", "x")).select("seq", "p", (F.col("many") - F.col("p")).alias("left"), "x.a", "x.b")
     counted = steps.write(lines.groupBy("a", "b").agg(F.count("*").alias("n")))
-    first = _ranked(counted.withColumn("all", F.lit(0)), ["all"], "a b", F.shiftrightunsigned("a", 48).cast("long"), F.lit(0)).drop("all")
+    first = _ranked(counted.withColumn("all", F.lit(0)), ["all"], "a b", F.shiftrightunsigned("a", 52).cast("long"), F.lit(0)).drop("all")
     # Documents without a repeated line are final at once; their ranks are never asked for.
     ranked = steps.write(lines.join(first, ["a", "b"]).select("seq", "p", "left", "rank", (F.col("n") > 1).alias("tied")))
     h = 1
@@ -140,6 +140,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     keys = seqs.select("seq", "doc_id", "text_hash").join(gone, "seq", "left")
     by_key = keys.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_copies"), F.count("gone").alias("_cut"), F.sort_array(F.collect_list(F.struct("seq", "gone"))).alias("_gone"))
     by_key = steps.write(by_key.filter("_cut > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies", F.col("_gone.gone").alias("_gone")))
+    steps.drop(*range(1, steps.count))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
     marked = docs.select(*columns, F.xxhash64(text).alias("_key"))
     # Deletions grow with the documents, so they are dealt by key at every size; the hash table is that of one partition's deletions.
