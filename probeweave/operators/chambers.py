@@ -181,10 +181,22 @@ def p_histogram(tests: DataFrame) -> DataFrame:
 
 
 def chamber_correlation(x: DataFrame, y: DataFrame, extra: list[str] | None = None, median: bool = False, log: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """One row: pairs, slope, intercept and R2 of chamber y on x, on medians and logs if asked."""
+    """One row: pairs, slope, intercept and R2 of chamber y on x, on medians and logs if asked.
+
+    Without medians every reading of a key is paired with every one of the other chamber; the sums over these pairs
+    follow from each side's count and sums, so no pair is produced.
+    """
     keys = ["Name", *(extra or [])]
     if median:
         x, y = [grouped_percentiles(d, keys, "intensity", {"intensity": 0.5}, hot_rows=hot_rows) for d in (x, y)]
+    else:
+        v = F.log("intensity") if log else F.col("intensity")
+        side = lambda d, s: d.where(v.isNotNull()).groupBy(*keys).agg(F.count(v).alias(f"n{s}"), F.sum(v).alias(f"s{s}"), F.sum(v * v).alias(f"q{s}"))
+        n, sx, sy, qx, qy, xy = (F.sum(e) for e in (F.col("nx") * F.col("ny"), F.col("ny") * F.col("sx"), F.col("nx") * F.col("sy"), F.col("ny") * F.col("qx"), F.col("nx") * F.col("qy"), F.col("sx") * F.col("sy")))
+        both, wide, high = n * xy - sx * sy, n * qx - sx * sx, n * qy - sy * sy
+        slope = both / F.nullif(wide, F.lit(0.0))
+        return side(x, "x").join(side(y, "y"), keys).agg(
+            F.coalesce(n, F.lit(0)).alias("pairs"), slope.alias("slope"), ((sy - slope * sx) / n).alias("intercept"), (both * both / F.nullif(wide * high, F.lit(0.0))).alias("r2"))
     j = join_chambers(x, y, keys)
     if log:
         j = j.withColumn("intensity_x", F.log("intensity_x")).withColumn("intensity_y", F.log("intensity_y"))

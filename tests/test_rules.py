@@ -142,3 +142,20 @@ def test_cutoff_of_two_rows_is_refused(spark):
     assert single_row(spark.createDataFrame([(0.5,)], "cutoff double"), "cutoff").first().cutoff == 0.5
     with pytest.raises(Exception, match="one row expected, found 2"):
         single_row(spark.createDataFrame([(0.5,), (0.6,)], "cutoff double"), "cutoff").collect()
+
+
+def test_chamber_fit_without_pairs(spark):
+    from probeweave.operators import chambers
+
+    rng = random.Random(6)
+    x = [(f"n{i % 5}", rng.uniform(1, 9)) for i in range(23)]
+    y = [(f"n{i % 6}", rng.uniform(1, 9)) for i in range(31)]
+    tables = [spark.createDataFrame(t, "Name string, intensity double") for t in (x, y)]
+    for log in (False, True):
+        got = chambers.chamber_correlation(*tables, log=log).first()
+        f = math.log if log else float
+        pairs = [(f(a), f(b)) for n, a in x for m, b in y if n == m]
+        mx, my = (sum(p[k] for p in pairs) / len(pairs) for k in (0, 1))
+        xy, xx, yy = (sum((a - mx) ** i * (b - my) ** j for a, b in pairs) for i, j in ((1, 1), (2, 0), (0, 2)))
+        want = (len(pairs), xy / xx, my - xy / xx * mx, xy * xy / xx / yy)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
