@@ -107,12 +107,13 @@ def predict(seqs: DataFrame, models: list[WindowModel], threshold: float, transf
 def training_rows(seqs: DataFrame, sites: DataFrame) -> DataFrame:
     """Sequences with exactly two scored sites as (seq_id, sequence, distance, weak and strong site).
 
-    On equal scores the right site is the strong one.
+    On equal scores the right site is the strong one; scores that agree to nine digits are equal,
+    as their last digits depend on the order in which weights are added.
     """
     site = F.struct("core_mid", "score")
     two = sites.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.min(site).alias("left"), F.max(site).alias("right")).where("n = 2")
     left, right = F.col("left"), F.col("right")
-    first = left["score"] > right["score"]
+    first = F.round(left["score"], 9) > F.round(right["score"], 9)
     strong, weak = F.when(first, left).otherwise(right), F.when(first, right).otherwise(left)
     rows = two.select("seq_id", (right["core_mid"] - left["core_mid"]).alias("distance"), weak.alias("w"), strong.alias("t"))
     return rows.join(seqs.select("seq_id", F.col("seq").alias("sequence")), "seq_id").select(

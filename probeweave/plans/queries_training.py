@@ -81,8 +81,8 @@ def two_factor_training(spark, sf_dir):
 @query(f"""with {fx.DNA_SQL}, {_windows_sql('dna')}, sc as (select seq_id, i, variant, win, {_SCORE} + 0.1::double as raw from cm),
 b as (select seq_id, i, max(raw) as raw from sc group by all), k as (select seq_id, i + 6 as mid, 1 / (1 + exp(-raw)) as score from b where 1 / (1 + exp(-raw)) > 0.5),
 two as (select seq_id, min(mid) as lm, arg_min(score, mid) as ls, max(mid) as rm, arg_max(score, mid) as rs from k group by 1 having count(*) = 2)
-select seq_id, seq as sequence, rm - lm as distance, round(case when ls > rs then rs else ls end, 6) as site_wk_score, case when ls > rs then rm else lm end as site_wk_pos,
- round(case when ls > rs then ls else rs end, 6) as site_str_score, case when ls > rs then lm else rm end as site_str_pos from two join dna using (seq_id)""")
+select seq_id, seq as sequence, rm - lm as distance, round(case when round(ls, 9) > round(rs, 9) then rs else ls end, 6) as site_wk_score, case when round(ls, 9) > round(rs, 9) then rm else lm end as site_wk_pos,
+ round(case when round(ls, 9) > round(rs, 9) then ls else rs end, 6) as site_str_score, case when round(ls, 9) > round(rs, 9) then lm else rm end as site_str_pos from two join dna using (seq_id)""")
 def window_training_rows(spark, sf_dir):
     """Two-site training rows from the window model."""
     d = fx.dna(spark, sf_dir)
