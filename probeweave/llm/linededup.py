@@ -136,20 +136,24 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     later = later_copies(seqs, steps, min_chars)
     # One document's deleted lines are no more than its lines.
     gone = later.select("seq", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("d") - 1)).alias("line")).groupBy("seq").agg(F.collect_set("line").alias("gone"))
-    # Fully equal rows share a key; their deletions are told apart by their order.
+    # Fully equal rows share a key. All runs of the second and later ones stand in the first, so these lose the same lines:
+    # a key has two lists of deletions at most, however many rows it has.
     keys = seqs.select("seq", "doc_id", "text_hash").join(gone, "seq", "left")
-    by_key = keys.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_copies"), F.count("gone").alias("_cut"), F.sort_array(F.collect_list(F.struct("seq", "gone"))).alias("_gone"))
-    by_key = steps.write(by_key.filter("_cut > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies", F.col("_gone.gone").alias("_gone")))
+    by_key = keys.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_copies"), F.count("gone").alias("_cut"), F.min_by("gone", "seq").alias("_first"), F.max_by("gone", "seq").alias("_rest"))
+    by_key = steps.write(by_key.filter("_cut > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies", "_first", "_rest"))
     steps.drop(*range(1, steps.count))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
     marked = docs.select(*columns, F.xxhash64(text).alias("_key"))
+    same = lambda keys: marked[doc_id].eqNullSafe(keys["_id"]) & (F.col("_key") == F.col("_hash"))
     # Deletions grow with the documents, so they are dealt by key at every size; the hash table is that of one partition's deletions.
-    joined = marked.join(by_key.hint("shuffle_hash"), marked[doc_id].eqNullSafe(by_key["_id"]) & (F.col("_key") == F.col("_hash")), "left")
-    single = joined.filter("_copies is null or _copies = 1").withColumn("_lines", F.col("_gone")[0])
-    # Rows of one key are fully equal in id and text.
-    number = F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.lit(0)))
-    several = joined.filter("_copies > 1").withColumn("_n", number).withColumn("_lines", F.col("_gone")[F.col("_n") - 1]).drop("_n")
-    rows = single.select(*columns, "_lines").union(several.select(*columns, "_lines"))
+    joined = marked.join(by_key.hint("shuffle_hash"), same(by_key), "left")
+    rows = joined.filter("_copies is null or _copies = 1").select(*columns, F.col("_first").alias("_lines"))
+    repeated = by_key.filter("_copies > 1")
+    if repeated.limit(1).count():
+        # Any row of a key may be its first; rows are told apart by a number that is written before it is compared.
+        several = steps.write(marked.join(repeated, same(repeated)).withColumn("_n", F.monotonically_increasing_id()))
+        firsts = several.groupBy("_id", "_hash").agg(F.min("_n").alias("_n")).select("_n", F.lit(True).alias("_one"))
+        rows = rows.union(several.join(firsts, "_n", "left").select(*columns, F.when(F.col("_one"), F.col("_first")).otherwise(F.col("_rest")).alias("_lines")))
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, T.IntegerType()) for c in ("n_lines", "n_deleted", "n_runs")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,25 @@ def test_repeated_rows(spark):
     check(spark, [(1, text), (1, text), (0, f"x\n{LONG}"), (2, text)])
 
 
+def test_many_equal_rows_are_not_gathered(spark, monkeypatch):
+    """No step holds a list that grows with the number of equal rows, and no window numbers them."""
+    written, write = [], Steps.write
+
+    def kept(self, df, path=None):
+        written.append(write(self, df, path))
+        lists = [f.name for f in df.schema if f.dataType.typeName() == "array"]
+        assert all(r[c] is None or len(r[c]) <= 3 for r in written[-1].select(*lists).collect() for c in lists)
+        return written[-1]
+
+    monkeypatch.setattr(Steps, "write", kept)
+    text = f"{LONG}\nshort\n{LONG}{LONG}"
+    table = [(None, text)] * 40 + [(None, None)] * 40 + [(1, text)] * 20 + [(2, f"{LONG}\n{LONG}")] * 3 + [(3, "own")] * 5
+    check(spark, table)
+    assert written
+    plan = linededup.dedup_lines(docs(spark, table))._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
 def test_empty_table(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
