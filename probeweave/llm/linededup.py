@@ -16,6 +16,9 @@ Skew. Counts of (rank, next rank) are taken before anything is shuffled by them,
 share is one row there; the orders inside an interval are prefix sums over ranges of the next rank, never one window
 over the interval; joins have the repeated key on one side only, which Spark splits when it is large.
 
+With ``by_lines`` a run counts from one line of two words, or of ``LONE_CHARS`` characters, on, however short. Blank and
+one-word lines are then deleted only in runs that end in such a line.
+
 Edge rows: a null text has no lines and stays null; an empty text is one empty line, too short to count. Rows with a null
 doc_id come first. Fully equal rows are copies of each other like any other rows. Line ids are two 64-bit hashes.
 """
@@ -34,6 +37,8 @@ from pyspark.sql import types as T
 from probeweave.llm.common import Steps, pieces
 
 MIN_CHARS = 100
+#: Lines that count by themselves when runs count by lines: two words, or so many characters. Blank and one-word lines do not.
+TWO_WORDS, LONE_CHARS = r"[^ \t\r][ \t\r]+[^ \t\r]", 20
 #: Ranges into which the values that order an interval are cut; sets parallelism, never results.
 RANGES = 4_096
 
@@ -49,9 +54,13 @@ def _ranked(counted: DataFrame, group: list[str], by: str, bucket, start) -> Dat
     return counted.join(sums, [*group, "bucket"]).withColumn("rank", start + F.col("before") + F.col("inside")).drop("before", "inside", "bucket")
 
 
-def sequences(docs: DataFrame, steps: Steps, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(seq, doc_id, text_hash, lines): documents numbered in text order, their lines as struct(a, b, chars)."""
-    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"), F.length(x).alias("chars"))
+def sequences(docs: DataFrame, steps: Steps, doc_id: str = "doc_id", text: str = "text", by_lines: bool = False) -> DataFrame:
+    """(seq, doc_id, text_hash, lines): documents numbered in text order, their lines as struct(a, b, chars).
+
+    With ``by_lines`` chars is 0 for a line that counts by itself and -1 for others, so that one line's end is what is summed.
+    """
+    size = lambda x: F.when(x.rlike(TWO_WORDS) | (F.length(x) >= LONE_CHARS), 0).otherwise(-1) if by_lines else F.length(x)
+    line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"), size(x).alias("chars"))
     lines = F.transform(F.split(F.col(text), "\n", -1), line)
     hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.when(F.col(text).isNull(), F.array().cast("array<struct<a:bigint,b:bigint,chars:int>>")).otherwise(lines).alias("lines"))
     ordered = hashed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
@@ -126,14 +135,14 @@ def later_copies(seqs: DataFrame, steps: Steps, min_chars: int = MIN_CHARS) -> D
     return out
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, by_lines: bool = False) -> DataFrame:
     """The columns of ``docs`` with the later copies of repeated runs cut from ``text``, and n_lines, n_deleted, n_runs.
 
     ``n_runs`` counts the maximal runs of lines deleted from the row. Every row comes back, possibly with an empty text.
     """
     steps = Steps(docs.sparkSession, "lines")
-    seqs = sequences(docs, steps, doc_id, text)
-    later = later_copies(seqs, steps, min_chars)
+    seqs = sequences(docs, steps, doc_id, text, by_lines)
+    later = later_copies(seqs, steps, 1 if by_lines else min_chars)
     # One document's deleted lines are no more than its lines.
     gone = later.select("seq", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("d") - 1)).alias("line")).groupBy("seq").agg(F.collect_set("line").alias("gone"))
     # Fully equal rows share a key. All runs of the second and later ones stand in the first, so these lose the same lines:
@@ -194,3 +203,26 @@ SELECT d.doc_id, COUNT(m.p)::INTEGER AS n_lines, COALESCE(SUM(m.cut::INTEGER), 0
        CASE WHEN MAX(d.text) IS NOT NULL THEN md5(COALESCE(string_agg(CASE WHEN NOT m.cut THEN m.line END, chr(10) ORDER BY m.p), '')) END AS kept_md5
 FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
+
+#: The same by lines: a run goes on to its first line that counts.
+LINES_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS p, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+ends AS (
+  SELECT *, MIN(CASE WHEN regexp_matches(line, '{TWO_WORDS}') OR length(line) >= {LONE_CHARS} THEN p END)
+    OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM lines),
+texts AS (
+  SELECT r.doc_id, r.p, r.q, string_agg(l.line, chr(10) ORDER BY l.p) AS run
+  FROM ends r JOIN lines l ON l.doc_id = r.doc_id AND l.p BETWEEN r.p AND r.q GROUP BY r.doc_id, r.p, r.q),
+later AS (
+  SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS n FROM texts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1))::INTEGER AS p FROM later),
+marked AS (
+  SELECT l.*, g.p IS NOT NULL AS cut, COALESCE(lag(g.p IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.p), false) AS cut_before
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.p = g.p)
+SELECT d.doc_id, COUNT(m.p)::INTEGER AS n_lines, COALESCE(SUM(m.cut::INTEGER), 0)::INTEGER AS n_deleted,
+       COALESCE(SUM((m.cut AND NOT m.cut_before)::INTEGER), 0)::INTEGER AS n_runs,
+       CASE WHEN MAX(d.text) IS NOT NULL THEN md5(COALESCE(string_agg(CASE WHEN NOT m.cut THEN m.line END, chr(10) ORDER BY m.p), '')) END AS kept_md5
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""

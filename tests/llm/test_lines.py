@@ -78,6 +78,15 @@ def test_many_equal_rows_are_not_gathered(spark, monkeypatch):
     assert "Window" not in plan
 
 
+def test_short_line_shared_by_many_documents(spark):
+    """By lines, a short line stays in its first document only; blank and one-word lines go with the run they lead into."""
+    table = [(i, f"own text {i}\nshort line here\n\nword\nend {i} text") for i in range(30)] + [(30, "word\n\nshort line here"), (31, "a\n\nshort line here"), (32, "\n\nword"), (33, "x" * 20), (34, "x" * 20)]
+    found = {r["doc_id"]: r for r in linededup.dedup_lines(docs(spark, table), by_lines=True).collect()}
+    assert found[0]["n_deleted"] == 0 and all(found[i]["text"] == f"own text {i}\n\nword\nend {i} text" for i in range(1, 30))
+    assert found[30]["text"] == "word\n" and found[31]["text"] == "a" and found[31]["n_runs"] == 1
+    assert found[32]["text"] == "\n\nword" and found[33]["n_deleted"] == 0 and found[34]["n_deleted"] == 1
+
+
 def test_empty_table(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
