@@ -10,9 +10,10 @@ only if the largest impacts of its words add up to the threshold; then only the
 are opened; their items get exact scores. Bounds are never below scores, so every item at or above the threshold is
 found. The three tests run over all passages of a batch at once.
 
-Verification. A found item counts when the passage's document holds enough of the word n-grams of the item's question
-and enough of those of its answer. An item's answer is its last sentence or line, its question all before it; an item of
-one sentence is both.
+Verification. A found item counts when the passage holds enough of the word n-grams of the item's question and enough of
+those of its answer. An item's answer is its last sentence or line, its question all before it; an item of one sentence
+is both. With ``whole`` an item counts as well when the passage holds that share of the n-grams of the item as a whole,
+and an answer of fewer than ``FEW`` n-grams counts by its words too, since one altered word takes away most of its n-grams.
 
 Size. The index is built for ``PART_CHARS`` of items at a time, so what is sent to tasks is bounded; a larger test set
 takes one pass over the documents for each part. Document counts behind the impacts are taken over all items.
@@ -37,6 +38,8 @@ from probeweave.llm.common import Steps, pieces
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage is a candidate, and share of n-grams that must be there.
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.6, 3
+#: Share of a whole item's n-grams that is enough without its answer, and n-grams below which an answer counts by its words.
+WHOLE, FEW = 0.75, 4
 BLOCK_ITEMS = 16
 #: Characters of items in one part of the index, and the shortest length class in words (each next one is four times as long).
 PART_CHARS, SHORTEST = 8_000_000, 64
@@ -91,6 +94,8 @@ class Index:
             self.block_max[:, b] = matrix.max(axis=1)
         self.term_max = self.block_max.max(axis=1)
         self.checks = [tuple(grams(words(x)) for x in question_and_answer(text)) for _, text in items]
+        self.items = [grams(words(text)) for _, text in items]
+        self.answers = [grams(words(question_and_answer(text)[1]), 1) for _, text in items]
 
     def candidates(self, docs: list[list[bytes]], threshold: float) -> Iterator[tuple[int, int, int, float]]:
         """(document, passage, item, score) for every passage and item at or above the threshold."""
@@ -146,7 +151,7 @@ class Index:
                     d = int(np.searchsorted(base, passage, "right")) - 1
                     yield d, passage - int(base[d]), b * BLOCK_ITEMS + int(j), float(score[i, j])
 
-    def search(self, texts: list[str | None], threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+    def search(self, texts: list[str | None], threshold: float, overlap: float, whole: float | None = None) -> Iterator[tuple[int, int, float, float, float]]:
         """(document, item, score, question overlap, answer overlap) for every verified item of each document."""
         docs = [words(x) for x in texts]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -156,12 +161,20 @@ class Index:
             for wanted in self.checks[item]:
                 size = len(next(iter(wanted)))
                 shares.append(len(wanted & grams(held, size)) / len(wanted))
-            if min(shares) >= overlap:
+            if min(shares) >= overlap or whole is not None and self.nearly(item, held, shares[0], overlap, whole):
                 best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (score, *shares))
         for (d, item), found in sorted(best.items()):
             yield d, item, *found
 
 
+    def nearly(self, item: int, held: list[bytes], question: float, overlap: float, whole: float) -> bool:
+        """Whether a passage holds ``whole`` of the item's n-grams, or enough of its question and of the words of its short answer."""
+        wanted, short = self.items[item], self.answers[item]
+        if len(wanted & grams(held, len(next(iter(wanted))))) >= whole * len(wanted):
+            return True
+        return len(self.checks[item][1]) < FEW and question >= overlap and len(short & grams(held, 1)) >= overlap * len(short)
+
+
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[list[Index]]:
     """The index, part by part: for each part one ``Index`` per length class."""
     steps = Steps(items.sparkSession, "benchmark")
@@ -191,7 +204,7 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> I
         yield [Index(v, documents, row["n"], row["mean"], k) for k, v in sorted(classes.items())]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: float | None = None) -> DataFrame:
     """(doc_id, text_hash, item_id, score, question_overlap, answer_overlap), a row for each document and test item in it."""
     spark = docs.sparkSession
     schema = "doc_id long, text_hash long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -204,7 +217,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
             for batch in batches:
                 for piece in pieces(batch, "text"):
                     ids, hashes, texts = (piece.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))
-                    rows = [(ids[d], hashes[d], index.ids[i], *rest) for index in shared.value for d, i, *rest in index.search(texts, threshold, overlap)]
+                    rows = [(ids[d], hashes[d], index.ids[i], *rest) for index in shared.value for d, i, *rest in index.search(texts, threshold, overlap, whole)]
                     if rows:
                         kinds = [pa.int64()] * 3 + [pa.float64()] * 3
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in schema.split(", ")])
@@ -213,8 +226,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: float | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
     steps = Steps(docs.sparkSession, "decontamination")
-    found = steps.write(contaminated(docs, items, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    found = steps.write(contaminated(docs, items, doc_id, text, whole=whole).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")

@@ -92,7 +92,7 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @register()
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole=decontamination.WHOLE)
     return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "question_overlap", "answer_overlap")
 
 

@@ -76,6 +76,19 @@ def test_edge_rows(spark):
     assert rows(left, "doc_id") == [(1,), (2,), (4,), (5,), (6,), (8,), (9,), (10,)]
 
 
+@pytest.mark.parametrize("many", [1, 2, 3, 4, 5])
+def test_one_word_of_a_short_answer(spark, many):
+    """A copy of an item counts when one word of its answer is altered or missing, or when it is cut before a short answer."""
+    question = "Which of the seven northern rivers did old settlers cross when early winter ice broke beneath loaded wooden carts and drowned horses near town?"
+    answer = ["amber", "basalt", "copper", "delta", "ember"][:many]
+    tests = items(spark, [(1, f"{question} {' '.join(answer)}."), (2, "An unrelated item about grain prices in distant markets? None.")])
+    table = [(0, f"{question} {' '.join(answer)}"), (100, question), (101, " ".join(question.split()[:9]))]
+    for i in range(many):
+        table += [(1 + i, " ".join(["before", question, *answer[:i], "altered", *answer[i + 1 :], "after"])), (11 + i, " ".join(["before", question, *answer[:i], *answer[i + 1 :], "after"]))]
+    found = d.contaminated(docs(spark, table), tests, whole=d.WHOLE)
+    assert {r["doc_id"] for r in found.collect()} == {t[0] for t in table} - {101}
+
+
 def test_empty_tables(spark):
     assert d.contaminated(docs(spark, EDGE), items(spark, [])).count() == 0
     assert d.clean_documents(docs(spark, EDGE), items(spark, [])).count() == len(EDGE)
