@@ -335,14 +335,11 @@ def _training(spark, sf_dir):
     return t
 
 
-POINTS = {"numTrees": [10], "maxDepth": [2, 4], "minInstancesPerNode": [5]}  # the grids of the analysis are in models.py; a run of them all takes hours
-
-
 @query()
 def grid_search_forest(spark, sf_dir):
     """Ten-fold cross-validated grid of forests with AUC by rank-sum; fitted trees have no SQL counterpart."""
     t = md.as_vectors(md.assign_folds(_training(spark, sf_dir), "doc_id", 10, 1, "label"))
-    return md.grid_search(t, RandomForestClassifier(seed=1), POINTS, 10)
+    return md.grid_search(t, RandomForestClassifier(seed=1), md.FOREST_GRID, 10)
 
 
 @query()
@@ -363,7 +360,21 @@ def _labelled(spark, sf_dir):
 @query()
 def model_sets(spark, sf_dir):
     """The six feature sets of the one-factor models, each with its best forest on shared folds."""
-    return md.run_model_set(_labelled(spark, sf_dir), "one_factor", RandomForestClassifier(seed=1), COLUMNS, 3, grid={"numTrees": [5], "maxDepth": [3]})
+    return md.run_model_set(_labelled(spark, sf_dir), "one_factor", RandomForestClassifier(seed=1), COLUMNS)
+
+
+@query()
+def model_sets_two_factors(spark, sf_dir):
+    """The six feature sets of the two-factor models, each with its best forest on shared folds."""
+    return md.run_model_set(_labelled(spark, sf_dir), "two_factors", RandomForestClassifier(seed=1), COLUMNS)
+
+
+@query()
+def best_forest_top_features(spark, sf_dir):
+    """The whole selection of a forest: search, and search again on its three most important features."""
+    d = md.assign_folds(_labelled(spark, sf_dir), "seq_id", 10, 0, "label")
+    t, names = ft.training_vectors(d, md.feature_spec("strength,distance,orientation", **COLUMNS), ["seq_id", "label", "fold"])
+    return md.best_model(t, names, RandomForestClassifier(seed=1), md.FOREST_GRID, 10, top_n=3)[2]
 
 
 @query()
@@ -383,4 +394,4 @@ def repeated_regression_r2(spark, sf_dir):
     """A regression task's record: grid search and repeated cross-validation of a forest on the standardised target."""
     t = _training(spark, sf_dir).withColumn("delta", F.element_at("features", 3))
     t = md.as_vectors(md.standardise(t.withColumn("features", F.slice("features", 1, 2)), "delta"))
-    return md.regression_record(t, RandomForestRegressor(seed=1), {"numTrees": [5], "maxDepth": [2, 4]}, "doc_id", "n_chars,words", (1, 2), 5)
+    return md.regression_record(t, RandomForestRegressor(seed=1), md.REGRESSION_GRID, "doc_id", "n_chars,words")
