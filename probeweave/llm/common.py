@@ -59,11 +59,20 @@ def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def map_text_arrays(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """As ``map_texts``, for a function of an Arrow array of texts."""
+    return _mapped(df, text, keep, fields, make, lambda column: column)
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
     """One row in, one row out: ``keep`` columns, then the columns that a function makes of a list of texts.
 
     ``make`` is called once in each task and returns that function.
     """
+    return _mapped(df, text, keep, fields, make, lambda column: column.to_pylist())
+
+
+def _mapped(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], make: Callable, given: Callable) -> DataFrame:
     schema = T.StructType([df.schema[k] for k in keep] + fields)
     names = [f.name for f in schema]
     source = df.select(*dict.fromkeys([*keep, text]))
@@ -72,7 +81,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
         work = make()
         for batch in batches:
             for part in pieces(batch, text):
-                made = work(part.column(text).to_pylist())
+                made = work(given(part.column(text)))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + made, names=names)
 
     return source.mapInArrow(run, schema)
