@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeweave.llm import covertree, decontamination, langid, licenses, linededup, mixing, periodic, sharding, simhash, tokencounts, tokenfile
+from probeweave.llm import alignment, covertree, decontamination, langid, licenses, linededup, mixing, periodic, sharding, simhash, tokencounts, tokenfile
 from probeweave.llm.common import Steps, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = -F.col("r.less")
     return found.select("doc_id", "n_runs", F.col("r.start").alias("start"), length.alias("length"), F.col("r.period").alias("period"),
                         F.floor(1000 * length / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@register()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
