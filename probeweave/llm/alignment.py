@@ -40,6 +40,8 @@ from probeweave.llm.common import Steps, map_text_arrays, pieces
 
 #: Single products that are worked on at once.
 PRODUCTS = 1 << 20
+#: Characters of a block of documents, and of the texts that are encoded at once; one longer text is a block of its own.
+BLOCK_CHARS, ENCODED_CHARS = 1_000_000, 250_000
 
 
 class Csr(NamedTuple):
@@ -166,9 +168,15 @@ def _starts(sizes: list[int] | np.ndarray) -> np.ndarray:
 
 def _encoded(side: Side, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, where each text's start, the ids' byte lengths, and whether each text's joined bytes are a space and the text."""
-    lists = side.encode(texts)
-    ids = np.fromiter((i for x in lists for i in x), np.int64, sum(map(len, lists)))
-    starts = _starts([len(x) for x in lists])
+    parts, sizes, first, chars = [], [], 0, 0
+    for i, t in enumerate(texts):  # the libraries' own records are many times a text's size
+        chars += len(t)
+        if chars > ENCODED_CHARS or i == len(texts) - 1:
+            lists = side.encode(texts[first : i + 1])
+            sizes += [len(x) for x in lists]
+            parts += [np.array(x, np.int64) for x in lists]
+            first, chars = i + 1, 0
+    ids, starts = np.concatenate(parts), _starts(sizes)
     tokens = side.tokens.take(pa.array(ids))
     ends = np.frombuffer(tokens.buffers()[1], np.int64, len(ids) + 1)
     joined = tokens.buffers()[2].to_pybytes() if len(ids) else b""
@@ -264,7 +272,7 @@ def shared_group_links(docs: DataFrame, keep: list[str], a_path: str, b_path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level_side(a_path), piece_side(b_path)
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, BLOCK_CHARS):
                 x = align_texts(part.column(text).to_pylist(), a, b)
                 left, right = incidence(x.a_group, len(x.a_ids)), transposed(incidence(x.b_group, len(x.b_ids)), int(x.group_starts[-1]))
                 for row, column, _ in row_products(left, right):
@@ -291,7 +299,7 @@ def link_statistics(docs: DataFrame, keep: list[str], a_path: str, b_path: str,
         a, b = byte_level_side(a_path), piece_side(b_path)
         size = max(len(a.tokens), len(b.tokens))
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", BLOCK_CHARS):
                 n = part.num_rows
                 x = align_texts(part.column("text").to_pylist(), a, b)
                 pairs, codes = np.unique(x.a_ids[x.link_a] << 32 | x.b_ids[x.link_b], return_inverse=True)

@@ -46,12 +46,12 @@ class Steps:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into slices of bounded size."""
+def pieces(batch: pa.RecordBatch, text: str, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into slices of bounded size: about ``most`` characters, or one longer text."""
     sizes = [0 if x is None else x for x in pa.compute.binary_length(batch.column(text)).to_pylist()]
     start = chars = 0
     for i, size in enumerate(sizes):
-        if i > start and (i - start >= BATCH_ROWS or chars + size > BATCH_CHARS):
+        if i > start and (i - start >= BATCH_ROWS or chars + size > most):
             yield batch.slice(start, i - start)
             start, chars = i, 0
         chars += size
