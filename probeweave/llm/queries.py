@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeweave.llm import alignment, covertree, decontamination, langid, licenses, linededup, mixing, periodic, sharding, simhash, tokencounts, tokenfile
+from probeweave.llm import alignment, covertree, decontamination, jaccard, langid, licenses, linededup, mixing, periodic, sharding, simhash, tokencounts, tokenfile
 from probeweave.llm.common import Steps, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_statistics(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@register(jaccard.ORACLE_SQL)
+def op13_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(documents(spark, sf_dir, "doc_id", "text"))
