@@ -25,8 +25,9 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -64,8 +65,9 @@ def spans(lengths: np.ndarray) -> Csr:
 
 
 def transposed(m: Csr, columns: int) -> Csr:
-    order = np.argsort(m.indices, kind="stable")
     rows = np.repeat(np.arange(len(m.indptr) - 1), np.diff(m.indptr))
+    in_order = (m.indices[1:] >= m.indices[:-1]).all()
+    order = slice(None) if in_order else np.argsort(m.indices, kind="stable")
     return Csr(np.concatenate(([0], np.cumsum(np.bincount(m.indices, minlength=columns)))), rows[order], m.data[order])
 
 
@@ -110,11 +112,59 @@ def byte_level_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: What ends a word for a byte-level tokenizer: the characters that Unicode calls white space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Some letters, and the signs of ASCII but the apostrophe: its pattern always cuts between the two.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+#: Chunks whose ids a worker remembers.
+REMEMBERED = 500_000
+
+
+class Chunks(dict):
+    """Ids of texts by chunks that a tokenizer never joins: each distinct chunk is encoded once, by the library."""
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]]):
+        self.pattern, self.encode = re.compile(pattern), encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.ids, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def __missing__(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        self[chunk] = number = len(self)
+        return number
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > REMEMBERED:
+            self.forget()
+        found = [np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)) for chunks in map(self.pattern.findall, texts)]
+        if self.fresh:
+            lists = self.encode(self.fresh)
+            self.ids = np.concatenate([self.ids, *[np.array(x, np.int64) for x in lists]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists])])
+            self.fresh = []
+        codes = np.concatenate(found)
+        starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+        upto = _starts(sizes)
+        return self.ids[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)], upto[_starts([len(x) for x in found])]
+
+
 class Side(NamedTuple):
-    encode: object  # list of texts -> list of id lists
+    encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]  # ids of all texts, where each text's start
     tokens: pa.Array  # the bytes of each id
 
 
+def _whole(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = encode(texts)
+        return np.concatenate([np.array(x, np.int64) for x in lists]), _starts([len(x) for x in lists])
+
+    return run
+
+
 @functools.lru_cache(maxsize=4)
 def byte_level_side(path: str) -> Side:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
@@ -131,7 +181,15 @@ def byte_level_side(path: str) -> Side:
     for token, i in vocabulary.items():
         if all(c in letters for c in token):  # others are added tokens, which texts never give
             tokens[i] = bytes(letters[c] for c in token)
-    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], pa.array(tokens, pa.large_binary()))
+    encode_all = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    cut = parts["pre_tokenizer"]
+    if cut.get("use_regex") and not cut.get("add_prefix_space") and not parts.get("normalizer"):
+        # its pattern takes at most one space before other characters, and never goes on from those to white space
+        plain = f" ?[{LETTERS}]+(?=[{SIGNS}{WHITE}]|\\Z)| ?[{SIGNS}]+(?=[{LETTERS}{WHITE}]|\\Z)"
+        encode = Chunks(f"{plain}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+", encode_all)
+    else:
+        encode = _whole(encode_all)
+    return Side(lambda texts: encode([" " + t for t in texts]), pa.array(tokens, pa.large_binary()))
 
 
 @functools.lru_cache(maxsize=4)
@@ -139,11 +197,16 @@ def piece_side(path: str) -> Side:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    tokens = []
+    tokens, joins = [], False
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         tokens.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Side(lambda texts: model.encode(texts, num_threads=1), pa.array(tokens, pa.large_binary()))
+        joins |= "▁" in piece.lstrip("▁")
+    if joins:
+        return Side(_whole(lambda texts: model.encode(texts, num_threads=1)), pa.array(tokens, pa.large_binary()))
+    # no piece goes on from another character to a space; the model itself puts the first space of a chunk
+    encode = Chunks(r" +[^ ]+(?: +\Z)?| +\Z", lambda chunks: model.encode([c[1:] for c in chunks], num_threads=1))
+    return Side(lambda texts: encode([" " + t for t in texts]), pa.array(tokens, pa.large_binary()))
 
 
 class Aligned(NamedTuple):
@@ -169,14 +232,14 @@ def _starts(sizes: list[int] | np.ndarray) -> np.ndarray:
 def _encoded(side: Side, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, where each text's start, the ids' byte lengths, and whether each text's joined bytes are a space and the text."""
     parts, sizes, first, chars = [], [], 0, 0
-    for i, t in enumerate(texts):  # the libraries' own records are many times a text's size
+    for i, t in enumerate(texts):  # lists of chunks, and the libraries' own records, are many times a text's size
         chars += len(t)
         if chars > ENCODED_CHARS or i == len(texts) - 1:
-            lists = side.encode(texts[first : i + 1])
-            sizes += [len(x) for x in lists]
-            parts += [np.array(x, np.int64) for x in lists]
+            ids, starts = side.encode(texts[first : i + 1])
+            parts.append(ids)
+            sizes.append(np.diff(starts))
             first, chars = i + 1, 0
-    ids, starts = np.concatenate(parts), _starts(sizes)
+    ids, starts = np.concatenate(parts), _starts(np.concatenate(sizes))
     tokens = side.tokens.take(pa.array(ids))
     ends = np.frombuffer(tokens.buffers()[1], np.int64, len(ids) + 1)
     joined = tokens.buffers()[2].to_pybytes() if len(ids) else b""
@@ -203,7 +266,8 @@ def align_texts(texts: list[str | None], a: Side, b: Side) -> Aligned:
     a_ends, b_ends = np.cumsum(a_bytes), np.cumsum(b_bytes)
     overlaps = product(spans(a_bytes), transposed(spans(b_bytes), int(b_ends[-1]) if len(b_ends) else 0))
     cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+    within = lambda ends: np.cumsum(np.concatenate(([0], np.isin(ends, cuts, assume_unique=True, kind="sort" if not len(cuts) else "table"))))[:-1]
+    a_group, b_group = within(a_ends), within(b_ends)
     upto = np.concatenate(([0], a_ends))[a_starts]
     return Aligned(a_ids, b_ids, a_starts, b_starts, a_group, b_group, np.searchsorted(cuts, upto, "right") if len(cuts) else np.zeros(len(texts) + 1, np.int64),
                    *overlaps, np.searchsorted(overlaps[0], a_starts))
