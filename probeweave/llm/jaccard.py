@@ -67,7 +67,7 @@ def token_sets(texts: pa.Array, words: int = SHINGLE_WORDS) -> list[np.ndarray]:
 
     flat, offsets = batch_words(texts, lower=True)
     codes, distinct = word_codes(flat)
-    each = np.array([xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.large_binary()).to_pylist()], np.uint64)[codes]
+    each = np.array([xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()], np.uint64)[codes]
     windows = max(len(each) - words + 1, 0)
     tokens = np.zeros(windows, np.uint64)
     for k in range(words):

@@ -219,8 +219,8 @@ def collapse(words: pa.Array, offsets: np.ndarray, runs: list[tuple[int, int, in
         change[offsets[doc] + start + length] -= 1
     kept = np.cumsum(change[:-1]) == 0
     ends = np.concatenate(([0], np.cumsum(kept)))[offsets]
-    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), words.filter(pa.array(kept)))
-    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(pa.array(kept)))
+    return pc.binary_join(lists, " ")
 
 
 def find_runs(docs: DataFrame, keep: list[str], text: str = "text", least_times: int = LEAST_TIMES, least_words: int = LEAST_WORDS) -> DataFrame:

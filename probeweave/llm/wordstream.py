@@ -12,7 +12,7 @@ def batch_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 
     Null and empty texts have no words. ``lower`` changes the letters A-Z only.
     """
-    whole = pc.fill_null(texts, "").cast(pa.large_string())
+    whole = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
     words = lists.flatten()
     # white space at an end of a text leaves an empty word there
