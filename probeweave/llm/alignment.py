@@ -42,7 +42,7 @@ from probeweave.llm.common import Steps, map_text_arrays, pieces
 #: Single products that are worked on at once.
 PRODUCTS = 1 << 20
 #: Characters of a block of documents, and of the texts that are encoded at once; one longer text is a block of its own.
-BLOCK_CHARS, ENCODED_CHARS = 1_000_000, 250_000
+BLOCK_CHARS, ENCODED_CHARS = 500_000, 100_000
 
 
 class Csr(NamedTuple):
@@ -117,7 +117,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Some letters, and the signs of ASCII but the apostrophe: its pattern always cuts between the two.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class Chunks(dict):
