@@ -14,9 +14,11 @@ threshold) of another's cannot be similar to it, which gives the join's three st
    ``GROUP_TOKENS`` tokens of a prefix in each, so that combinations stay linear in the set's size; the number of groups follows
    from a band of set sizes, and a set is indexed for its own band and the next, which hold all its larger partners. In the bands of
    a few tokens there is one class only.
-3. Verification. Each signature first pairs its members with its smallest one only: that is linear, and connects groups
-   of near copies. Members of one signature that are then still in different components are paired next, whatever their number.
-   Every pair is verified on the whole sets. Pairs left out lie within one component, which their link could not change.
+3. Verification. Each signature first pairs its members only with the one that has the fewest tokens of its own: that is
+   linear, and connects most of a group of near copies. Members of one signature that are then still in different components are
+   paired next, whatever their number. A pair goes on if the least number of tokens that it can differ in allows it: each side's own
+   ones, and those that a parity sketch of the others shows. Every such pair is verified on the whole sets. Pairs that no step
+   meets lie within one component, which their link could not change.
 
 Equal 64-bit hashes of unequal shingles or sets are taken as equal (odds of 1 to 10^19 for each pair compared).
 
@@ -52,6 +54,9 @@ BUCKET_TOKENS = 4_000_000
 #: Members of a signature that one task pairs with all others.
 PAIRED_ROWS = 1000
 
+#: Numbers of 64 bits in a set's parity sketch.
+SKETCH = 4
+
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -199,8 +204,14 @@ def signatures(size: int, tokens: np.ndarray, holders: np.ndarray, percent: int
     return np.concatenate(out)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens by 256 hash values: two sets differ in at least as many tokens as their sketches in bits."""
+    odd = np.bincount((_mixed(tokens) >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _signed(sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, set, size) of every set of (set, size, held: its shared tokens as (holders, token), in order)."""
+    """(sig, set, size, own, s0, ...) of every set of (set, size, held: its shared tokens as (holders, token), in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,15 +224,30 @@ def _signed(sets: DataFrame, percent: int) -> DataFrame:
                 part = slice(offsets[i], offsets[i + 1])
                 key = np.unique(signatures(int(sizes[i]), tokens[part], holders[part], percent))
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), names[i])), pa.array(np.full(len(key), sizes[i]))], names=["sig", "set", "size"])
+                    same = [names[i], sizes[i], sizes[i] - len(tokens[part]), *sketch(tokens[part])]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[pa.array(np.full(len(key), x)) for x in same]], names=["sig", *_FIELDS])
+
+    return sets.select("set", "size", "held").mapInArrow(run, "sig long, " + ", ".join(f"{c} long" for c in _FIELDS))
+
 
-    return sets.select("set", "size", "held").mapInArrow(run, "sig long, set long, size long")
+_FIELDS = ["set", "size", "own", *[f"s{i}" for i in range(SKETCH)]]
+
+
+def _side(name: str, given: str = "") -> list:
+    """The fields of one side of a pair: the set as ``name``, the others with that in front."""
+    return [F.col(f"{given}{c}").alias(name if c == "set" else f"{name}_{c}") for c in _FIELDS]
 
 
 def _near_sizes(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _may_be_similar(percent: int):
+    """Whether sets a and b of these sizes, own tokens and sketches can be similar."""
+    differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)), F.col("a_own") + F.col("b_own"))
+    return ((100 + percent) * differ <= (100 - percent) * (F.col("a_size") + F.col("b_size"))) & _near_sizes("a_size", "b_size", percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar; tokens that one set alone holds are in no intersection."""
     side = lambda name: sets.select(F.col("set").alias(name), F.col("size").alias(f"{name}_size"), F.col("held.token").alias(f"{name}_tokens"))
@@ -233,18 +259,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_sets(sets: DataFrame, steps: Steps, percent: int = PERCENT) -> DataFrame:
     """(node, component) of every set with a link, for sets of (set, size, held)."""
     signed = steps.write(_signed(sets, percent))
-    members = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct("set", "size")).alias("hub")).filter("n > 1")
-    to_hub = signed.join(members, "sig").select(F.col("hub.set").alias("a"), F.col("hub.size").alias("a_size"), F.col("set").alias("b"), F.col("size").alias("b_size"))
-    first = steps.write(to_hub.filter((F.col("a") < F.col("b")) & _near_sizes("a_size", "b_size", percent)).select("a", "b").distinct())
+    members = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct("own", *[c for c in _FIELDS if c != "own"])).alias("hub")).filter("n > 1")
+    to_hub = signed.join(members, "sig").filter("hub.set <> set").select(*_side("a", "hub."), *_side("b")).filter(_may_be_similar(percent))
+    first = steps.write(to_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = steps.write(_verified(first, sets, percent))
     near = connected_components(links, steps)
     # members of one signature that the hubs have not connected
     placed = signed.join(near.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     apart = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high")
     open_ = steps.write(placed.join(apart.select("sig", F.ceil(F.col("n") / PAIRED_ROWS).cast("int").alias("parts")), "sig"))
-    left = open_.select("sig", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"), F.col("set").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_in"))
-    right = open_.select("sig", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_in"))
-    across = left.join(right, ["sig", "part"]).filter((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & _near_sizes("a_size", "b_size", percent))
+    left = open_.select("sig", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"), *_side("a"), F.col("component").alias("a_in"))
+    right = open_.select("sig", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *_side("b"), F.col("component").alias("b_in"))
+    across = left.join(right, ["sig", "part"]).filter((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & _may_be_similar(percent))
     rest = steps.write(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     return connected_components(steps.write(links.union(_verified(rest, sets, percent))), steps)
 

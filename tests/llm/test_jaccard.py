@@ -124,6 +124,15 @@ def test_joins_against_brute_force(spark, monkeypatch, seed):
     assert rows(jaccard.similar_documents(docs(spark, table).repartition(5))) == sorted(brute(table))
 
 
+def test_sketches_never_show_too_many_differences():
+    rng = random.Random(7)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.randrange(0, 400))}
+        b = {t for t in a if rng.random() < 0.9} | {rng.getrandbits(64) for _ in range(rng.randrange(0, 40))}
+        x, y = (jaccard.sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(x.view(np.uint64), y.view(np.uint64))) <= len(a ^ b)
+
+
 def test_members_that_the_hub_misses(spark, monkeypatch):
     """A chain around the hub: its ends are similar to each other's neighbours only."""
     tokens = list(range(1, 61))
