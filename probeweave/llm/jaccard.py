@@ -50,7 +50,7 @@ CLASS_BOUNDS = (8, 64)
 #: Tokens of a prefix that a group of a frequent class is laid out for.
 GROUP_TOKENS = 4
 #: Tokens of all documents in a bucket of step 1.
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 #: Members of a signature that one task pairs with all others.
 PAIRED_ROWS = 1000
 
@@ -66,6 +66,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; most are distinct, which a sort takes best."""
+    tokens = np.sort(tokens)
+    return tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))[: len(tokens)]]
+
+
 def token_sets(texts: pa.Array, words: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The sorted distinct tokens of each text."""
     import xxhash
@@ -80,7 +86,7 @@ def token_sets(texts: pa.Array, words: int = SHINGLE_WORDS) -> list[np.ndarray]:
     out = []
     for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if z - a >= words:
-            out.append(np.unique(tokens[a : z - words + 1]))
+            out.append(_distinct(tokens[a : z - words + 1]))
         elif z > a:
             out.append(np.array([xxhash.xxh64_intdigest(" ".join(flat[a:z].to_pylist()).encode(), z - a)], np.uint64))
         else:
@@ -122,6 +128,7 @@ def _shared_sizes(docs: DataFrame, buckets: int, words: int, least: int) -> Data
                 alone = first & np.concatenate((first[1:], [True]))
                 # what two sets of the block hold is shared; others are told of it by one entry
                 own = np.bincount(holder[~alone], minlength=len(sets))
+                some = np.flatnonzero(own)
                 told = token[first & ~alone]
                 token, holder = token[alone], holder[alone]
                 bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -133,24 +140,25 @@ def _shared_sizes(docs: DataFrame, buckets: int, words: int, least: int) -> Data
                 low = lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 count = lambda x: np.bincount(x, minlength=buckets)
                 # the block's own findings go with its first bucket
-                mine = np.array([len(sets)] + [0] * (buckets - 1))
+                mine = np.array([len(some)] + [0] * (buckets - 1))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(buckets), pa.int32()), pa.ListArray.from_arrays(_ends(count(bucket[run])), pa.array(sets[holder[run]])),
                     pa.ListArray.from_arrays(_ends(count(bucket[run])), pa.array(np.diff(np.append(run, len(token))), pa.int32())),
                     pa.ListArray.from_arrays(_ends(count(bucket)), pa.array(low(token))), pa.ListArray.from_arrays(_ends(count(toldin)), pa.array(low(told[order]))),
-                    pa.ListArray.from_arrays(_ends(mine), pa.array(sets)), pa.ListArray.from_arrays(_ends(mine), pa.array(own))],
+                    pa.ListArray.from_arrays(_ends(mine), pa.array(sets[some])), pa.ListArray.from_arrays(_ends(mine), pa.array(own[some]))],
                     names=["bucket", "sets", "sizes", "tokens", "known", "own", "found"])
 
     def shared(rows: pa.Table) -> pa.Table:
         flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         names, code = np.unique(flat("sets"), return_inverse=True)
-        entry = np.unique(flat("tokens").view(np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(code, flat("sizes")).astype(np.uint64))
+        entry = _distinct(flat("tokens").view(np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(code, flat("sizes")).astype(np.uint64))
         token, holder = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
         differs = token[1:] != token[:-1]
         met = ~(np.concatenate(([True], differs))[: len(token)] & np.concatenate((differs, [True]))[: len(token)])
         met |= np.isin(token, np.unique(flat("known")).view(np.uint32).astype(np.uint64))
         counts = np.bincount(holder[met], minlength=len(names))
-        return pa.table({"set": np.concatenate((names, flat("own"))), "shared": np.concatenate((counts, flat("found")))})
+        some = counts > 0
+        return pa.table({"set": np.concatenate((names[some], flat("own"))), "shared": np.concatenate((counts[some], flat("found")))})
 
     sent = docs.select("text").mapInArrow(pack, packed).filter((F.size("tokens") > 0) | (F.size("known") > 0) | (F.size("own") > 0))
     return sent.groupBy("bucket").applyInArrow(shared, "set long, shared long").groupBy("set").agg(F.sum("shared").alias("shared"))
