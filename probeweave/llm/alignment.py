@@ -117,7 +117,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Some letters, and the signs of ASCII but the apostrophe: its pattern always cuts between the two.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 class Chunks(dict):
@@ -152,6 +152,32 @@ class Chunks(dict):
         return self.ids[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)], upto[_starts([len(x) for x in found])]
 
 
+def _in_one_text(encode: Callable[[str], list[int]], each: Callable[[list[str]], list[list[int]]], between: str, drop: int, is_start: Callable[[np.ndarray], np.ndarray], odd: re.Pattern) -> Callable[[list[str]], list]:
+    """Encode chunks as one text with ``between`` them, which costs far less than a call for each.
+
+    ``is_start`` says which ids begin a chunk (``drop`` of them are not its own); chunks that are ``odd``, and all where the
+    numbers do not agree, are encoded one by one.
+    """
+
+    def run(chunks: list[str]) -> list:
+        plain = [i for i, c in enumerate(chunks) if not odd.search(c)]
+        out: list = [None] * len(chunks)
+        if plain:
+            ids = np.array(encode(between.join(chunks[i] for i in plain)), np.int64)
+            starts = np.flatnonzero(is_start(ids))
+            if drop:
+                starts = np.concatenate(([-drop], starts))
+            if len(starts) == len(plain):
+                for i, a, z in zip(plain, (starts + drop).tolist(), [*starts[1:].tolist(), len(ids)]):
+                    out[i] = ids[a:z]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, each([chunks[i] for i in rest]) if rest else ()):
+            out[i] = x
+        return out
+
+    return run
+
+
 class Side(NamedTuple):
     encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]  # ids of all texts, where each text's start
     tokens: pa.Array  # the bytes of each id
@@ -185,8 +211,12 @@ def byte_level_side(path: str) -> Side:
     cut = parts["pre_tokenizer"]
     if cut.get("use_regex") and not cut.get("add_prefix_space") and not parts.get("normalizer"):
         # its pattern takes at most one space before other characters, and never goes on from those to white space
+        line_end = tokenizer.encode("\n", add_special_tokens=False).ids
+        # a line end between two chunks is a token of its own
+        one_text = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        encode_new = _in_one_text(one_text, encode_all, "\n", 1, lambda ids: ids == line_end[0], re.compile(f"^[{WHITE}]$|.[{WHITE}]", re.S)) if len(line_end) == 1 else encode_all
         plain = f" ?[{LETTERS}]+(?=[{SIGNS}{WHITE}]|\\Z)| ?[{SIGNS}]+(?=[{LETTERS}{WHITE}]|\\Z)"
-        encode = Chunks(f"{plain}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+", encode_all)
+        encode = Chunks(f"{plain}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+", encode_new)
     else:
         encode = _whole(encode_all)
     return Side(lambda texts: encode([" " + t for t in texts]), pa.array(tokens, pa.large_binary()))
@@ -204,8 +234,10 @@ def piece_side(path: str) -> Side:
         joins |= "▁" in piece.lstrip("▁")
     if joins:
         return Side(_whole(lambda texts: model.encode(texts, num_threads=1)), pa.array(tokens, pa.large_binary()))
+    first = np.array([model.id_to_piece(i).startswith("▁") for i in range(model.get_piece_size())])
+    encode_new = _in_one_text(lambda text: model.encode(text[1:]), lambda chunks: model.encode([c[1:] for c in chunks], num_threads=1), "", 0, lambda ids: first[ids], re.compile("^  |.[ ▁]|^.?$", re.S))
     # no piece goes on from another character to a space; the model itself puts the first space of a chunk
-    encode = Chunks(r" +[^ ]+(?: +\Z)?| +\Z", lambda chunks: model.encode([c[1:] for c in chunks], num_threads=1))
+    encode = Chunks(r" +[^ ]+(?: +\Z)?| +\Z", encode_new)
     return Side(lambda texts: encode([" " + t for t in texts]), pa.array(tokens, pa.large_binary()))
 
 
@@ -368,7 +400,8 @@ def link_statistics(docs: DataFrame, keep: list[str], a_path: str, b_path: str,
                 x = align_texts(part.column("text").to_pylist(), a, b)
                 pairs, codes = np.unique(x.a_ids[x.link_a] << 32 | x.b_ids[x.link_b], return_inverse=True)
                 doc = np.repeat(np.arange(n), np.diff(x.link_starts))
-                held = np.bincount(np.unique(codes * n + doc) // n, minlength=len(pairs))
+                once = np.sort(codes * n + doc)  # a document holds a pair once
+                held = np.bincount(once[np.concatenate(([True], once[1:] != once[:-1]))[: len(once)]] // n, minlength=len(pairs))
                 # the block's dictionary is with its first row
                 block = _starts([len(pairs)] + [0] * (n - 1))
                 counts = [np.diff(s) for s in (x.a_starts, x.b_starts, x.group_starts, x.link_starts)] + [shared_sizes(x)]
