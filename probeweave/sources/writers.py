@@ -57,6 +57,7 @@ def write_pwm(table: DataFrame, path: str) -> None:
     pwm_lines(table).coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Add records to a log folder, one per line, as ``read_results`` reads them."""
-    df.write.mode("append").json(path)
+def append_results(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Add records to a log folder, one per line, as ``read_results`` reads them; with ``by`` to a folder and one file for each task."""
+    out = df.repartition(*by).write.partitionBy(*by) if by else df.write
+    out.mode("append").json(path)
