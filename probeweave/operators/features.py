@@ -17,10 +17,11 @@ from probeweave.functions.seq import BASES, seq_to_int
 
 
 class Block(NamedTuple):
-    """Several features that are one array<double> column."""
+    """Several features that are one array<double> column, or its cells that are not 0: an array of their place and value."""
 
     names: list[str]
     column: Column
+    cells: Column
 
 
 Feature = list[tuple[str, Column] | Block]
@@ -78,6 +79,10 @@ def affinity(*, colnames: tuple[str, ...] = ("site_wk_score", "site_str_score"))
     return [(c, F.col(c).cast("double")) for c in colnames]
 
 
+def position(*, colnames: tuple[str, ...]) -> Feature:
+    return [(c, F.col(c).cast("double")) for c in colnames]
+
+
 def site_scores(df: DataFrame, sites: DataFrame, key: str = "seq_id", weak: str = "site_wk_score", strong: str = "site_str_score") -> DataFrame:
     """Rows whose sequence has exactly two called sites, with the lower and the higher score of the two."""
     pair = sites.groupBy(F.col("seq_id").alias(key)).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias(weak), F.max("score").alias(strong)).where("_n = 2")
@@ -96,17 +101,24 @@ def _side_flank(seq: Column, pos: Column, seqin: int, left: bool) -> Column:
 
 
 def _one_hot(flank: Column, n: int, tag: str, maxk: int) -> Feature:
-    """One block for each place and k: the place's k-mer is one code, compared with every code in the k-mers' order."""
+    """One block for each place and k: the k-mers in their order are the block's dictionary, a place's k-mer is one entry of it.
+
+    Where the flank ends before, every entry is ``NO_BASE``; a k-mer with another letter has no entry.
+    """
     out = []
     for k in range(1, maxk + 1):
         kmers = list(map("".join, itertools.product(BASES, repeat=k)))
+        cell = lambda place, value: F.struct(place.cast("int").alias("place"), F.lit(value).alias("value"))
+        missing = F.array(*[cell(F.lit(j), NO_BASE) for j in range(len(kmers))])
         for i in range(n + 1 - k):
             here = F.substring(flank, i + 1, k)
-            # -1 where the flank ends before, -2 for a k-mer with another letter
-            code = F.when(F.length(here) < k, -1).otherwise(F.coalesce(seq_to_int(here), F.lit(-2)))
-            flag = lambda j, c: F.when(c == j, 1.0).when(c == -1, NO_BASE).otherwise(0.0)
-            cells = F.transform(F.array(code), lambda c: F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda j: flag(j, c)))
-            out.append(Block([f"{tag}_pos{i}_{kmer}" for kmer in kmers], F.get(cells, F.lit(0))))
+            # the place of each letter in the alphabet, 0 for any other
+            digits = [F.instr(F.lit(BASES), F.substring(flank, i + 1 + j, 1)) for j in range(k)]
+            code = sum(((d - 1) * 4 ** (k - 1 - j) for j, d in enumerate(digits)), F.lit(0))
+            valid = F.least(*digits) > 0 if k > 1 else digits[0] > 0
+            cells = F.when(F.length(here) < k, missing).when(valid, F.array(cell(code, 1.0))).otherwise(F.array().cast("array<struct<place:int,value:double>>"))
+            flag = lambda j: F.when(F.length(here) < k, NO_BASE).when(valid & (code == j), 1.0).otherwise(0.0)
+            out.append(Block([f"{tag}_pos{i}_{kmer}" for kmer in kmers], F.array(*[flag(j) for j in range(len(kmers))]), cells))
     return out
 
 
@@ -166,7 +178,7 @@ def shape(*, seqin: int, poscols: tuple[str, str], smode: str = "positional", di
     return out
 
 
-BUILDERS = {"distance": distance, "orientation": orientation, "affinity": affinity, "sequence": sequence, "shape": shape}
+BUILDERS = {"distance": distance, "orientation": orientation, "affinity": affinity, "position": position, "sequence": sequence, "shape": shape}
 
 
 def feature_list(spec: dict[str, dict]) -> Feature:
@@ -200,6 +212,23 @@ def training_vectors(df: DataFrame, spec: dict[str, dict], keep: list[str]) -> t
     return df.select(*keep, F.concat(*parts).alias("features")), names
 
 
+def training_cells(df: DataFrame, spec: dict[str, dict], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with ``cells``, the (place, value) of every feature that is not 0, and the list naming the places.
+
+    A flank of n letters has one cell for each place and k, not 4^k.
+    """
+    parts, names = [], []
+    for f in feature_list(spec):
+        base = len(names)
+        if isinstance(f, Block):
+            names += f.names
+            parts.append(F.transform(f.cells, lambda c: F.struct((c["place"] + base).alias("place"), c["value"].alias("value"))) if base else f.cells)
+        else:
+            names.append(f[0])
+            parts.append(F.filter(F.array(F.struct(F.lit(base).alias("place"), f[1].cast("double").alias("value"))), lambda c: c["value"] != 0))
+    return df.select(*keep, F.flatten(F.array(*parts)).alias("cells")), names
+
+
 def sequence_tensor(df: DataFrame, mers: int = 2, scores: tuple[str, ...] = (), target: str = "delta", seq: str = "Sequence") -> DataFrame:
     """k-mer codes (order A,T,C,G) per row with target and optional score columns."""
     from probeweave.functions.seq import kmer_codes

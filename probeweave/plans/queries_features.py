@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from probeweave.functions import seq as S
 from probeweave.functions.skew import grouped_percentiles
+from probeweave.operators import correlation
 from probeweave.operators import features as ft
 from probeweave.operators import models as md
 from probeweave.operators import shape as sh
 from probeweave.operators import training as tr
+from probeweave.operators.mutants import two_sites
 from probeweave.plans import fixtures as fx
-from probeweave.plans.queries_scan import _big
+from probeweave.plans.queries_scan import _big, core4, pwm10
+from probeweave.plans.queries_sites import two_models
 from probeweave.plans.registry import query
-from probeweave.session import checkpointed
+from probeweave.session import checkpoint_folder, checkpointed
 from probeweave.plans.sql_blocks import rank_sum_sql
 
 ROWS_SQL = f"""{fx.DNA_SQL}, rows as (select seq_id, 'n' || seq_id as "Name", seq as "Sequence", p1, p2, case when seq_id % 2 = 0 then p1 else p2 end as site_str_pos, case when seq_id % 2 = 0 then p2 else p1 end as site_wk_pos,
@@ -61,10 +66,10 @@ def orientation_from_cores(spark, sf_dir):
 
 def _values(df, spec):
     """(seq_id, name, value) of every feature that is not 0."""
-    t, names = ft.training_vectors(df, spec, ["seq_id"])
+    t, names = ft.training_cells(df, spec, ["seq_id"])
     n = F.array(*[F.lit(x) for x in names])
-    pairs = t.select("seq_id", F.posexplode("features").alias("i", "v")).where("v <> 0")
-    return pairs.select("seq_id", F.get(n, F.col("i")).alias("name"), F.round("v", 6).alias("value"))
+    cells = t.select("seq_id", F.explode("cells").alias("c"))
+    return cells.select("seq_id", F.get(n, F.col("c.place")).alias("name"), F.round("c.value", 6).alias("value"))
 
 
 def _flank_values(sides: str, label: str, n: int, maxk: int) -> str:
@@ -247,6 +252,20 @@ def correlation_row(spark, sf_dir):
         F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 7).alias("r2"))
 
 
+_MATRIX = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_MATRIX_SQL = " union all ".join(
+    f"select l_returnflag, '{a}' as a, '{b}' as b, count(*) filter (where {a} is not null and {b} is not null) as n, round(corr({a}, {b}), 7) as r from cells group by 1"
+    for i, a in enumerate(_MATRIX) for b in _MATRIX[i:])
+
+
+@query(f"""with cells as (select l_returnflag, l_quantity, case when l_orderkey % 7 <> 0 then l_extendedprice end as l_extendedprice, case when l_orderkey % 5 <> 0 then l_discount end as l_discount, l_tax from lineitem) {_MATRIX_SQL}""")
+def correlation_matrix(spark, sf_dir):
+    """Correlations of every pair of four columns per group; a missing value drops a row from its own pairs only."""
+    t = fx.table(spark, sf_dir, "lineitem")
+    t = t.withColumn("l_extendedprice", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice"))).withColumn("l_discount", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_discount")))
+    return correlation.correlation_matrix(t, list(_MATRIX), ["l_returnflag"]).withColumn("r", F.round("r", 7))
+
+
 @query(f"""with {ROWS_SQL}, m as (select 'n' || seq_id as "Name", (seq_id % 17)::double as low, (seq_id % 29)::double as high from dna)
 select "Name", (high - low)::float::double as delta, (site_wk_score)::float::double as site_wk_score,
  array_to_string(list_transform(range(1, length("Sequence")), lambda i: (instr('ATCG', substr("Sequence", i::int, 1)) - 1) * 4 + instr('ATCG', substr("Sequence", (i + 1)::int, 1)) - 1), ',') as codes
@@ -345,48 +364,102 @@ def grid_search_forest(spark, sf_dir):
 @query()
 def tree_depth_models(spark, sf_dir):
     """The best of the decision trees of depths 1 to 8 by average precision, on one fold split."""
-    t = md.as_vectors(md.assign_folds(_training(spark, sf_dir), "doc_id", 5, 1, "label"))
-    r = md.grid_search(t, DecisionTreeClassifier(seed=1), {"maxDepth": md.TREE_DEPTHS}, 5, "pr")
+    t = md.as_vectors(md.assign_folds(_training(spark, sf_dir), "doc_id", 10, 1, "label"))
+    r = md.grid_search(t, DecisionTreeClassifier(seed=1), {"maxDepth": md.TREE_DEPTHS}, 10, "pr")
     return md.best_point(r)
 
 
-COLUMNS = {"pos": POS, "directions": ("str_ori", "wk_ori"), "scores": ("site_str_score", "site_wk_score")}
+COLUMNS = {"pos": POS, "directions": ("site_str_ori", "site_wk_ori"), "scores": ("site_str_score", "site_wk_score")}
+TWO_COLUMNS = {"pos": ("four_pos", "five_pos"), "directions": ("four_ori", "five_ori"), "scores": ("four_score", "five_score")}
+
+
+def _named(df):
+    """Rows with Name, a label and a measured effect by number: the part of the label and value files."""
+    i = F.col("seq_id")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("cooperative", "independent", "ambiguous")]), (i % 3 + 1).cast("int"))
+    return df.withColumn("Name", F.concat(F.lit("n"), i.cast("string"))).withColumn("label", label)
+
+
+def one_factor_rows(spark, sf_dir):
+    """Probes in which the site caller finds two scored sites of one factor."""
+    return _named(tr.training_table(fx.dna(spark, sf_dir).withColumnRenamed("seq", "Sequence"), core4(spark), pwm10()).drop("orientation"))
+
+
+def two_factor_rows(spark, sf_dir):
+    """Probes in which the site callers find one scored site of each of two factors."""
+    pairs = two_sites(fx.dna(spark, sf_dir), two_models(spark)).where("s1.tf <> s2.tf")
+    of = lambda tf, field: F.when(F.col("s1.tf") == tf, F.col(f"s1.{field}")).otherwise(F.col(f"s2.{field}")).alias(f"{tf}_{field}")
+    sites = [of(tf, field) for tf in ("four", "five") for field in ("pos", "score", "ori")]
+    return _named(pairs.select("seq_id", F.col("seq").alias("Sequence"), (F.col("s2.pos") - F.col("s1.pos")).alias("distance"), *sites))
+
 
+def _labelled(df):
+    return df.where("label in ('cooperative', 'independent')").withColumn("label", ft.numeric_label())
 
-def _labelled(spark, sf_dir):
-    return rows(spark, sf_dir).where("label in ('cooperative', 'independent')").withColumn("label", ft.numeric_label())
+
+def _tracked(spark, df):
+    """Rows with the shape tracks of their own sequence, which may have been turned round."""
+    df = checkpointed(df)
+    return df.join(sh.track_arrays(df.select("seq_id", F.col("Sequence").alias("seq")), pentamers(spark), ft.SHAPES), "seq_id")
+
+
+def _effects(df, only_label=None):
+    i = F.regexp_extract("Name", "([0-9]+)", 1).cast("bigint")
+    measured = df.select("Name").withColumn("low", (i % 17).cast("double")).withColumn("high", (i % 29).cast("double"))
+    return tr.with_effect(df, measured, "high", "low", only_label)
 
 
 @query()
 def model_sets(spark, sf_dir):
     """The six feature sets of the one-factor models, each with its best forest on shared folds."""
-    return md.run_model_set(_labelled(spark, sf_dir), "one_factor", RandomForestClassifier(seed=1), COLUMNS)
+    return md.run_model_set(_labelled(one_factor_rows(spark, sf_dir)), "one_factor", RandomForestClassifier(seed=1), COLUMNS)
 
 
 @query()
 def model_sets_two_factors(spark, sf_dir):
     """The six feature sets of the two-factor models, each with its best forest on shared folds."""
-    return md.run_model_set(_labelled(spark, sf_dir), "two_factors", RandomForestClassifier(seed=1), COLUMNS)
+    return md.run_model_set(_labelled(two_factor_rows(spark, sf_dir)), "two_factors", RandomForestClassifier(seed=1), TWO_COLUMNS)
+
+
+@query()
+def position_model_sets(spark, sf_dir):
+    """The five feature sets of the position models, with flank letters and shapes, each with its forest's scores on shared folds."""
+    return md.run_model_set(_labelled(_tracked(spark, one_factor_rows(spark, sf_dir))), "position", RandomForestClassifier(seed=1), COLUMNS)
 
 
 @query()
 def best_forest_top_features(spark, sf_dir):
     """The whole selection of a forest: search, and search again on its three most important features."""
-    d = md.assign_folds(_labelled(spark, sf_dir), "seq_id", 10, 0, "label")
+    d = md.assign_folds(_labelled(one_factor_rows(spark, sf_dir)), "seq_id", 10, 0, "label")
     t, names = ft.training_vectors(d, md.feature_spec("strength,distance,orientation", **COLUMNS), ["seq_id", "label", "fold"])
     return md.best_model(t, names, RandomForestClassifier(seed=1), md.FOREST_GRID, 10, top_n=3)[2]
 
 
+@query()
+def regression_sets_one_factor(spark, sf_dir):
+    """The regression record of every feature set of one factor's cooperative rows: whole grid, folds and seeds."""
+    d = _effects(_tracked(spark, one_factor_rows(spark, sf_dir)), "cooperative")
+    return md.run_regression_sets(d, "regression_one", RandomForestRegressor(seed=1), COLUMNS)
+
+
+@query()
+def regression_sets_two_factors(spark, sf_dir):
+    """The regression record of every feature set of two factors' rows: whole grid, folds and seeds."""
+    d = _effects(_tracked(spark, two_factor_rows(spark, sf_dir)))
+    return md.run_regression_sets(d, "regression_two", RandomForestRegressor(seed=1), TWO_COLUMNS)
+
+
 @query()
 def oriented_model_scores(spark, sf_dir):
-    """Rows scored on distance and shape features by the model of their orientation."""
+    """Rows scored on distance and shape features by the model of their orientation, which is saved and loaded again."""
     d = _shaped(spark, sf_dir).where("label in ('cooperative', 'independent')")
     ori = ft.relative_orientation(*[F.when(F.col("site_str_pos") < F.col("site_wk_pos"), F.col(a)).otherwise(F.col(b)) for a, b in (("str_ori", "wk_ori"), ("wk_ori", "str_ori"))])
     spec = {"distance": {}, "shape_in": {"seqin": 2, "poscols": ("p1", "p2"), "shapes": ("MGW",)}, "shape_out": {"seqin": -2, "poscols": ("p1", "p2"), "shapes": ("Roll",)}}
     t, _ = ft.training_vectors(d.withColumn("orientation", ori).withColumn("label", ft.numeric_label()), spec, ["seq_id", "orientation", "label"])
     t = checkpointed(md.as_vectors(t))
-    models = {o: LogisticRegression().fit(t.where(F.col("orientation") == o)) for o in ("+/+", "+/-", "-/+")}
-    return md.score_by_orientation(t, models).select("seq_id", "orientation", "prediction", "probability")
+    path = f"{checkpoint_folder(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    md.save_by_group(t, LogisticRegression(), path, ["+/+", "+/-", "-/+"])
+    return md.score_by_orientation(t, md.load_by_group(spark, path)).select("seq_id", "orientation", "prediction", "probability")
 
 
 @query()

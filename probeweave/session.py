@@ -58,9 +58,12 @@ class StepTables:
 
     def finish(self, df: DataFrame) -> DataFrame:
         out = checkpointed(df)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return out
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -139,3 +139,28 @@ def test_welch_tail(spark):
     h = t / n
     area = (f(0) + f(t) + sum((4 if i % 2 else 2) * f(i * h) for i in range(1, n))) * h / 3
     assert r.p_greater == pytest.approx(0.5 - area, abs=1e-9)
+
+
+def test_correlation_matrix(spark):
+    import numpy as np
+
+    from probeweave.operators.correlation import correlation_matrix
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    x[:, 1] += x[:, 0]
+    rows = [(int(i % 2), *[None if (i + j) % 9 == 0 else float("nan") if (i + j) % 11 == 0 else float(v) for j, v in enumerate(r)], 5.0) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, d double")
+    found = {(r["g"], r["a"], r["b"]): (r["n"], r["r"]) for r in correlation_matrix(df, ["a", "b", "c", "d"], ["g"]).collect()}
+    assert len(found) == 2 * 10
+    for (g, p, q), (n, r) in found.items():
+        cells = [(row["abcd".index(p) + 1], row["abcd".index(q) + 1]) for row in rows if row[0] == g]
+        cells = [c for c in cells if all(v is not None and v == v for v in c)]
+        assert n == len(cells)
+        if "d" in (p, q):
+            assert r is None  # a constant column
+        else:
+            assert r == pytest.approx(np.corrcoef(np.array(cells).T)[0, 1])
+    assert [tuple(r) for r in correlation_matrix(df.limit(0), ["a", "b"]).collect()] == [("a", "a", 0, None), ("a", "b", 0, None), ("b", "b", 0, None)]
+    with pytest.raises(ValueError):
+        correlation_matrix(df, ["a", "a"])
