@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probeweave.session import checkpoint_folder
@@ -22,6 +23,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as the struct ``row``: beside it, any names are free."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 class Steps:
     """Intermediate tables in the shared checkpoint folder. A written table cuts the lineage and survives lost executors."""
 

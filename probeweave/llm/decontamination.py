@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probeweave.llm.common import Steps, pieces
+from probeweave.llm.common import Steps, pieces, whole_row
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage is a candidate, and share of n-grams that must be there.
@@ -229,5 +229,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: float | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
     steps = Steps(docs.sparkSession, "decontamination")
-    found = steps.write(contaminated(docs, items, doc_id, text, whole=whole).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    hit = contaminated(docs, items, doc_id, text, whole=whole).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+    found = steps.write(hit.distinct())
+    rows = docs.select(whole_row(docs), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+    return rows.join(found, same, "left_anti").select("row.*")

@@ -16,8 +16,8 @@ Skew. Counts of (rank, next rank) are taken before anything is shuffled by them,
 share is one row there; the orders inside an interval are prefix sums over ranges of the next rank, never one window
 over the interval; joins have the repeated key on one side only, which Spark splits when it is large.
 
-With ``by_lines`` a run counts from one line of two words, or of ``LONE_CHARS`` characters, on, however short. Blank and
-one-word lines are then deleted only in runs that end in such a line.
+With ``by_lines`` a run counts from one line of two words, or of ``LONE_CHARS`` characters, on, or from ``LONE_LINES`` lines
+that are not blank, however short. So lists of short words are runs too; blank and one-word lines go only with such runs.
 
 Edge rows: a null text has no lines and stays null; an empty text is one empty line, too short to count. Rows with a null
 doc_id come first. Fully equal rows are copies of each other like any other rows. Line ids are two 64-bit hashes.
@@ -39,6 +39,8 @@ from probeweave.llm.common import Steps, pieces
 MIN_CHARS = 100
 #: Lines that count by themselves when runs count by lines: two words, or so many characters. Blank and one-word lines do not.
 TWO_WORDS, LONE_CHARS = r"[^ \t\r][ \t\r]+[^ \t\r]", 20
+#: Lines of other words that count together.
+LONE_LINES, BLANK = 3, r"^[ \t\r]*\z"
 #: Ranges into which the values that order an interval are cut; sets parallelism, never results.
 RANGES = 4_096
 
@@ -57,9 +59,10 @@ def _ranked(counted: DataFrame, group: list[str], by: str, bucket, start) -> Dat
 def sequences(docs: DataFrame, steps: Steps, doc_id: str = "doc_id", text: str = "text", by_lines: bool = False) -> DataFrame:
     """(seq, doc_id, text_hash, lines): documents numbered in text order, their lines as struct(a, b, chars).
 
-    With ``by_lines`` chars is 0 for a line that counts by itself and -1 for others, so that one line's end is what is summed.
+    With ``by_lines`` chars says, less one for the line's end, how many of ``LONE_LINES`` lines a line stands for.
     """
-    size = lambda x: F.when(x.rlike(TWO_WORDS) | (F.length(x) >= LONE_CHARS), 0).otherwise(-1) if by_lines else F.length(x)
+    weight = lambda x: F.when(x.rlike(TWO_WORDS) | (F.length(x) >= LONE_CHARS), LONE_LINES).when(x.rlike(BLANK), 0).otherwise(1)
+    size = lambda x: weight(x) - 1 if by_lines else F.length(x)
     line = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"), size(x).alias("chars"))
     lines = F.transform(F.split(F.col(text), "\n", -1), line)
     hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.when(F.col(text).isNull(), F.array().cast("array<struct<a:bigint,b:bigint,chars:int>>")).otherwise(lines).alias("lines"))
@@ -142,7 +145,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     steps = Steps(docs.sparkSession, "lines")
     seqs = sequences(docs, steps, doc_id, text, by_lines)
-    later = later_copies(seqs, steps, 1 if by_lines else min_chars)
+    later = later_copies(seqs, steps, LONE_LINES if by_lines else min_chars)
     # One document's deleted lines are no more than its lines.
     gone = later.select("seq", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("d") - 1)).alias("line")).groupBy("seq").agg(F.collect_set("line").alias("gone"))
     # Fully equal rows share a key. All runs of the second and later ones stand in the first, so these lose the same lines:
@@ -152,66 +155,47 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     by_key = steps.write(by_key.filter("_cut > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies", "_first", "_rest"))
     steps.drop(*range(1, steps.count))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "n_runs")]
-    marked = docs.select(*columns, F.xxhash64(text).alias("_key"))
-    same = lambda keys: marked[doc_id].eqNullSafe(keys["_id"]) & (F.col("_key") == F.col("_hash"))
+    # the rows travel as one struct, so that no column's name can meet one of these
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(doc_id).alias("doc"), F.xxhash64(text).alias("key"))
+    same = lambda keys: F.col("doc").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_hash"))
     # Deletions grow with the documents, so they are dealt by key at every size; the hash table is that of one partition's deletions.
     joined = marked.join(by_key.hint("shuffle_hash"), same(by_key), "left")
-    rows = joined.filter("_copies is null or _copies = 1").select(*columns, F.col("_first").alias("_lines"))
+    rows = joined.filter("_copies is null or _copies = 1").select("row", F.col("_first").alias("lines"))
     repeated = by_key.filter("_copies > 1")
     if repeated.limit(1).count():
         # Any row of a key may be its first; rows are told apart by a number that is written before it is compared.
-        several = steps.write(marked.join(repeated, same(repeated)).withColumn("_n", F.monotonically_increasing_id()))
-        firsts = several.groupBy("_id", "_hash").agg(F.min("_n").alias("_n")).select("_n", F.lit(True).alias("_one"))
-        rows = rows.union(several.join(firsts, "_n", "left").select(*columns, F.when(F.col("_one"), F.col("_first")).otherwise(F.col("_rest")).alias("_lines")))
+        several = steps.write(marked.join(repeated, same(repeated)).withColumn("n", F.monotonically_increasing_id()))
+        firsts = several.groupBy("_id", "_hash").agg(F.min("n").alias("n")).select("n", F.lit(True).alias("one"))
+        rows = rows.union(several.join(firsts, "n", "left").select("row", F.when(F.col("one"), F.col("_first")).otherwise(F.col("_rest")).alias("lines")))
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, T.IntegerType()) for c in ("n_lines", "n_deleted", "n_runs")])
+    at = columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
+            flat = pa.RecordBatch.from_arrays([*batch.column("row").flatten(), batch.column("lines")], names=[str(i) for i in range(len(columns) + 1)])
+            for part in pieces(flat, str(at)):
                 texts, numbers = [], []
-                for x, lines in zip(part.column(text).to_pylist(), part.column("_lines").to_pylist()):
+                for x, lines in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist()):
                     parts, drop = [] if x is None else x.split("\n"), set(lines or ())
                     texts.append(x if not drop else "\n".join(y for i, y in enumerate(parts) if i not in drop))
                     numbers.append((len(parts), len(drop), sum(i - 1 not in drop for i in drop)))
-                new = [pa.array(texts, pa.string()) if c == text else part.column(c) for c in columns]
+                new = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(new + [pa.array([n[k] for n in numbers], pa.int32()) for k in range(3)], names=schema.names)
 
     return rows.mapInArrow(cut, schema)
 
 
-ORACLE_SQL = """
+#: By lines, all shortest runs as texts: a run goes on until its lines stand for LONE_LINES.
+ORACLE_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS p, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+weighed AS (
+  SELECT *, CASE WHEN regexp_matches(line, '{TWO_WORDS}') OR length(line) >= {LONE_CHARS} THEN {LONE_LINES} WHEN regexp_matches(line, '{BLANK}') THEN 0 ELSE 1 END AS weight FROM lines),
 sized AS (
-  SELECT *, SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM lines),
-runs AS (
-  SELECT s.doc_id, s.p, MIN(e.p) AS q
-  FROM sized s JOIN sized e ON e.doc_id = s.doc_id AND e.p >= s.p AND e.upto >= s.upto - length(s.line) - 1 + 100
-  GROUP BY s.doc_id, s.p),
-texts AS (
-  SELECT r.doc_id, r.p, r.q, string_agg(l.line, chr(10) ORDER BY l.p) AS run
-  FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.p BETWEEN r.p AND r.q GROUP BY r.doc_id, r.p, r.q),
-later AS (
-  SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS n FROM texts) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1))::INTEGER AS p FROM later),
-marked AS (
-  SELECT l.*, g.p IS NOT NULL AS cut, COALESCE(lag(g.p IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.p), false) AS cut_before
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.p = g.p)
-SELECT d.doc_id, COUNT(m.p)::INTEGER AS n_lines, COALESCE(SUM(m.cut::INTEGER), 0)::INTEGER AS n_deleted,
-       COALESCE(SUM((m.cut AND NOT m.cut_before)::INTEGER), 0)::INTEGER AS n_runs,
-       CASE WHEN MAX(d.text) IS NOT NULL THEN md5(COALESCE(string_agg(CASE WHEN NOT m.cut THEN m.line END, chr(10) ORDER BY m.p), '')) END AS kept_md5
-FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
-"""
-
-#: The same by lines: a run goes on to its first line that counts.
-LINES_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS p, unnest(l) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+  SELECT *, SUM(weight) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM weighed),
 ends AS (
-  SELECT *, MIN(CASE WHEN regexp_matches(line, '{TWO_WORDS}') OR length(line) >= {LONE_CHARS} THEN p END)
-    OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM lines),
+  SELECT s.doc_id, s.p, MIN(e.p) AS q FROM sized s JOIN sized e ON e.doc_id = s.doc_id AND e.p >= s.p AND e.upto >= s.upto - s.weight + {LONE_LINES} GROUP BY s.doc_id, s.p),
 texts AS (
   SELECT r.doc_id, r.p, r.q, string_agg(l.line, chr(10) ORDER BY l.p) AS run
   FROM ends r JOIN lines l ON l.doc_id = r.doc_id AND l.p BETWEEN r.p AND r.q GROUP BY r.doc_id, r.p, r.q),

@@ -40,12 +40,6 @@ def tokenizer_pattern() -> str:
 
 @register(linededup.ORACLE_SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_deleted", "n_runs", F.md5("text").alias("kept_md5"))
-
-
-@register(linededup.LINES_SQL)
-def op1_line_dedup_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"), by_lines=True)
     return kept.select("doc_id", "n_lines", "n_deleted", "n_runs", F.md5("text").alias("kept_md5"))
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probeweave.llm.common import Steps
 
@@ -146,7 +147,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     """
     steps = Steps(docs.sparkSession, "shards")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
-    parts = {"_h": F.xxhash64(text), "_i": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_r": F.xxhash64(*docs.columns)}
+    parts = {"_h": F.xxhash64(text), "_i": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_r": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
     keys = steps.write(docs.select(*[c.alias(k) for k, c in parts.items()], size.alias("size")))
     row = keys.agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("_i").alias("least"), F.max("_i").alias("most")).first()
     total = (row["size"] or 0, row["rows"])
@@ -167,13 +168,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
 
     clashing = {"size", "text_crc32", "shard", "slot"}
     kept = [c for c in carry or docs.columns if c not in clashing]
-    rows = docs.select(*[F.col(c) for c in kept], size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), *[c.alias(k) for k, c in parts.items()])
-    placed = rows.mapInArrow(place, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, _range long")
+    # what is carried travels as one struct, so that no column's name can meet one of these
+    row = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in kept]).alias("row")
+    rows = docs.select(row, size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), *[c.alias(k) for k, c in parts.items()])
+    placed = rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("_range", T.LongType())]))
     order = W.partitionBy("_range").orderBy("_h", "_i", "_r")
     starts = docs.sparkSession.createDataFrame([(r, r // pieces, bounds[r][2] - first[r]) for r in range(len(bounds))], "_at long, shard int, _before long")
     # One row for each range of RANGE_BYTES; Spark decides by its size whether it is broadcast.
     slots = placed.withColumn("_slot", F.row_number().over(order) - 1).join(starts, F.col("_range") == F.col("_at"))
-    return slots.select(*kept, "size", "text_crc32", "shard", (F.col("_before") + F.col("_slot")).cast("long").alias("slot"))
+    return slots.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "size", "text_crc32", "shard", (F.col("_before") + F.col("_slot")).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probeweave.llm.common import Steps, map_texts
+from probeweave.llm.common import Steps, map_texts, whole_row
 from probeweave.llm.components import connected_components
 
 SHINGLE_WORDS, MAX_BITS = 3, 3
@@ -216,17 +216,18 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Among rows with that doc_id the smallest hash of all columns wins; of fully equal rows one stays.
     """
     steps = Steps(docs.sparkSession, "simhash-keep")
-    columns = docs.columns
-    whole = F.xxhash64(*[F.col(c) for c in columns])
-    found = near_duplicates(docs, doc_id, text, row_hash=whole)
-    rows = found.groupBy("class", "doc_id", "row_hash").agg(F.count("*").alias("n"))
-    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash", "n")).alias("first"))
-    chosen = steps.write(first.select(F.col("first.doc_id").alias("_id"), F.col("first.row_hash").alias("_hash"), F.col("first.n").alias("_n")))
+    # the rows travel as one struct, so that no column's name can meet one of these
+    rows = docs.select(whole_row(docs), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"))
+    found = near_duplicates(rows, row_hash=F.col("row_hash"))
+    counted = found.groupBy("class", "doc_id", "row_hash").agg(F.count("*").alias("n"))
+    first = counted.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash", "n")).alias("first"))
+    chosen = steps.write(first.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.row_hash").alias("chosen_hash"), F.col("first.n").alias("n")))
     # What stays grows with the documents, so it is dealt by key; the hash table is one partition's part of it.
-    kept = docs.withColumn("_row", whole).join(chosen.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash")))
-    number = F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.lit(0)))
-    once = kept.filter("_n > 1").withColumn("_number", number).filter("_number = 1")
-    return kept.filter("_n = 1").select(*columns).union(once.select(*columns))
+    same = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("row_hash") == F.col("chosen_hash"))
+    kept = rows.select("row", "doc_id", "row_hash").join(chosen.hint("shuffle_hash"), same)
+    number = F.row_number().over(W.partitionBy("chosen_id", "chosen_hash").orderBy(F.lit(0)))
+    once = kept.filter("n > 1").withColumn("number", number).filter("number = 1")
+    return kept.filter("n = 1").select("row.*").union(once.select("row.*"))
 
 
 def hex_digits(fp: Column) -> Column:

@@ -24,6 +24,7 @@ written, side by side (ordered by their text's hash). An empty table gives an em
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -141,14 +142,22 @@ def unpack(words: bytes, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Token ids of a tokenizer that splits at white space, as little-endian 32-bit numbers, remembering words.
+    """Token ids of a tokenizer as little-endian 32-bit numbers, remembering words where the tokenizer allows it.
 
-    The tokenizer cuts text into pieces that never cross white space, so a text's ids are those of its words, one after
-    the other. Words of letters below U+0180 are normalised here (lower case is all that the normaliser changes in them)
-    and their pieces go to the tokenizer's model; a text with any other character, or with what may be a special token,
-    goes to the tokenizer as a whole.
+    A tokenizer whose file says that it normalises and cuts texts as ``WORDWISE`` does makes pieces that never cross white
+    space, so a text's ids are those of its words, one after the other. Words of letters below U+0180 are normalised here (lower
+    case is all that the normaliser changes in them) and their pieces go to the tokenizer's model; a text with any other
+    character, or with what may be a special token, goes to the tokenizer as a whole. So does every text of any other tokenizer.
     """
 
+    #: Normaliser and pre-tokenizer that are followed here (fixed values).
+    WORDWISE = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    )
+
     #: The tokenizer's pattern, for characters below U+0180 (fixed values).
     LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
     PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
@@ -158,6 +167,10 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        marked = [t["content"] for t in parts.get("added_tokens") or []]
+        self.wordwise = (parts.get("normalizer"), parts.get("pre_tokenizer")) == self.WORDWISE and all(t.startswith("<|") for t in marked)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
@@ -184,7 +197,7 @@ class WordEncoder:
         end = END_ID.to_bytes(4, "little")
         if not text:
             return end
-        if any(x in text for x in self.ODD) or not text.isascii() and self._beyond(text.encode()):
+        if not self.wordwise or any(x in text for x in self.ODD) or not text.isascii() and self._beyond(text.encode()):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
         if len(self.words) >= REMEMBERED:
             self.words.clear()

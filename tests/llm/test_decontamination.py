@@ -99,3 +99,17 @@ def test_question_and_answer():
     assert d.question_and_answer("What is it? A thing.") == ("What is it?", "A thing.")
     assert d.question_and_answer("One line\nAnswer") == ("One line", "Answer")
     assert d.question_and_answer("only one") == ("only one", "only one")
+
+
+def test_column_names_do_not_clash(spark):
+    from pyspark.sql import functions as F
+
+    item = "What is the name of the river that runs through the old town of the valley? It is the long grey river."
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    table = docs(spark, [(1, f"Before it. {item} After it."), (2, "Quite another text about other things.")])
+    names = ["_id", "_hash", "hit_id", "hit_hash", "text_hash", "row", "item_id"]
+    for name in names:
+        table = table.withColumn(name, F.lit(f"its {name}"))
+    kept = d.clean_documents(table, items)
+    assert kept.columns == table.columns and [r["doc_id"] for r in kept.collect()] == [2]
+    assert all(r[n] == f"its {n}" for r in kept.collect() for n in names)

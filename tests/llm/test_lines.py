@@ -1,21 +1,22 @@
 import pytest
 from helpers import EDGE, LONG, docs, rows
+from pyspark.sql import functions as F
 
 from probeweave.llm import linededup
 from probeweave.llm.common import Steps
 
 
-def brute(table, least=linededup.MIN_CHARS):
+def brute(table, least=linededup.MIN_CHARS, size=lambda line: len(line) + 1):
     """Shortest counted runs in text order; all but the first copy of each are cut."""
     seen, out = set(), []
     for i, text in table:
         lines = [] if text is None else text.split("\n")
         gone = set()
         for p in range(len(lines)):
-            q, size = p, 0
-            while q < len(lines) and size < least:
-                size, q = size + len(lines[q]) + 1, q + 1
-            if size >= least:
+            q, total = p, 0
+            while q < len(lines) and total < least:
+                total, q = total + size(lines[q]), q + 1
+            if total >= least:
                 run = tuple(lines[p:q])
                 if run in seen:
                     gone.update(range(p, q))
@@ -25,11 +26,16 @@ def brute(table, least=linededup.MIN_CHARS):
     return out
 
 
+def weight(line):
+    """By lines: how many of three lines a line stands for."""
+    return 3 if len(line) >= 20 or len([w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w]) >= 2 else 0 if not line.strip(" \t\r") else 1
+
+
 def check(spark, table, **options):
     by_id = sorted(table, key=lambda r: (r[0] is not None, r[0] or 0))
     found = linededup.dedup_lines(docs(spark, table), **options)
     got = rows(found, "doc_id", "text", "n_lines", "n_deleted", "n_runs")
-    want = brute(by_id, **({"least": options["min_chars"]} if options else {}))
+    want = brute(by_id, 3, weight) if options.get("by_lines") else brute(by_id, **({"least": options["min_chars"]} if options else {}))
     assert got == sorted(want, key=lambda r: tuple((x is not None, str(type(x)), x if x is not None else 0) for x in r))
 
 
@@ -47,6 +53,7 @@ def test_runs_against_brute_force(spark):
         table.append((i, "\n".join(text)))
     check(spark, table)
     check(spark, table, min_chars=20)
+    check(spark, table, by_lines=True)
 
 
 def test_edge_rows(spark):
@@ -87,6 +94,25 @@ def test_short_line_shared_by_many_documents(spark):
     assert found[32]["text"] == "\n\nword" and found[33]["n_deleted"] == 0 and found[34]["n_deleted"] == 1
 
 
+def test_lists_of_single_words(spark):
+    """Three lines that are not blank count together, whatever stands between; two do not."""
+    table = [(1, "ab\n\ncd\nef\ngh"), (2, "own line here\nab\n\ncd\nef\nxy"), (3, "cd\nef\nzz"), (4, "\n\n\n"), (5, "\n\n\n")]
+    found = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, table), by_lines=True).collect()}
+    assert found == {1: table[0][1], 2: "own line here\nxy", 3: "cd\nef\nzz", 4: "\n\n\n", 5: "\n\n\n"}
+    check(spark, table, by_lines=True)
+
+
+def test_column_names_do_not_clash(spark):
+    table = docs(spark, [(1, f"{LONG}\nown"), (2, f"{LONG}\nother"), (2, f"{LONG}\nother")])
+    names = ["_key", "_id", "_hash", "_copies", "_first", "_rest", "_lines", "_n", "_one", "doc", "key", "row", "lines", "n", "one"]
+    for name in names:
+        table = table.withColumn(name, F.lit(f"its {name}"))
+    found = linededup.dedup_lines(table)
+    assert found.columns == [*table.columns, "n_lines", "n_deleted", "n_runs"]
+    assert all(tuple(r[n] for n in names) == tuple(f"its {n}" for n in names) for r in found.collect())
+    assert sorted(r["text"] for r in found.collect()) == sorted([f"{LONG}\nown", "other", ""])
+
+
 def test_empty_table(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 

@@ -52,3 +52,15 @@ def test_columns_are_carried(spark):
 def test_shards_are_written(spark, tmp_path):
     sharding.write_shards(docs(spark, EDGE), str(tmp_path / "shards"), 3)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(EDGE)
+
+
+def test_column_names_do_not_clash(spark):
+    from pyspark.sql import functions as F
+
+    table = docs(spark, [(i, f"text {i % 3}") for i in range(9)])
+    names = ["_h", "_i", "_r", "_range", "_at", "_before", "_slot", "row", "0"]
+    for name in names:
+        table = table.withColumn(name, F.lit(f"its {name}"))
+    placed = sharding.assign(table, 4)
+    assert set(table.columns) <= set(placed.columns) and placed.count() == 9
+    assert all(tuple(r[n] for n in names) == tuple(f"its {n}" for n in names) for r in placed.collect())

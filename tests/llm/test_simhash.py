@@ -91,3 +91,14 @@ def test_long_chain_of_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     found = {r["node"]: r["component"] for r in simhash.connected_components(links, Steps(spark, "test")).collect()}
     assert found == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
+
+
+def test_column_names_do_not_clash(spark):
+    text = "one two three four five six seven eight nine ten"
+    table = docs(spark, [(5, text), (2, text), (2, text), (9, "something else entirely is written here")])
+    names = ["_id", "_hash", "_n", "_row", "_number", "row", "row_hash", "n", "number", "chosen_id", "fp", "class", "component_id", "a.b"]
+    for name in names:
+        table = table.withColumn(name, F.lit(f"its {name}"))
+    kept = simhash.keep_first(table)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 9]
+    assert all(tuple(r[n] for n in names) == tuple(f"its {n}" for n in names) for r in kept.collect())

@@ -64,3 +64,11 @@ def test_empty_table(spark):
     path = Steps(spark, "test").path()
     tokenfile.write_tokens(docs(spark, []), path, PATH)
     assert tokenfile.read_tokens(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Hello World  foo", "It's we'll\n x", "a<|endoftext|>b", "Ünïcödé 中文"])
+def test_any_other_tokenizer_encodes_whole_texts(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [1]
+    assert np.frombuffer(tokenfile.WordEncoder(path).encode(text), "<u4").tolist() == want
+    assert tokenfile.WordEncoder(PATH).wordwise and not tokenfile.WordEncoder(path).wordwise
