@@ -49,8 +49,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 CLASS_BOUNDS = (8, 64)
 #: Tokens of a prefix that a group of a frequent class is laid out for.
 GROUP_TOKENS = 4
-#: Tokens of all documents in a bucket of step 1.
-BUCKET_TOKENS = 2_000_000
+#: Tokens of all documents in a bucket of step 1, and the least number of buckets.
+BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 64
 #: Members of a signature that one task pairs with all others.
 PAIRED_ROWS = 1000
 
@@ -304,22 +304,28 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     printed = steps.write(map_text_arrays(rows, "text", ["doc_id", "row_hash"], [T.StructField("size", T.LongType()), T.StructField("set", T.LongType())], measure))
     # smaller sets are similar to equal ones only
     least = next(n for n in itertools.count(1) if allowed(n, percent) or allowed(n + 1, percent))
-    distinct = steps.write(printed.filter("size > 0").groupBy("set").agg(F.max("size").alias("size"), F.min("doc_id").alias("least"), F.min("row_hash").alias("row_hash")))
+    alike = printed.filter("size > 0").groupBy("set", "row_hash").agg(F.max("size").alias("size"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    distinct = steps.write(alike.groupBy("set").agg(F.max("size").alias("size"), F.min("least").alias("least"), F.min(F.struct("row_hash", "n")).alias("row")))
     total = printed.agg(F.sum("size")).first()[0] or 0
-    buckets = max(-(-total // BUCKET_TOKENS), 2 * spark.sparkContext.defaultParallelism)
+    buckets = max(-(-total // BUCKET_TOKENS), LEAST_BUCKETS)
     shared = _shared_sizes(rows, buckets, words, least)
     lacking = lambda known: F.col("size") - F.col(known) <= F.col("size") - F.ceil(F.col("size") * percent / 100)
-    survivors = steps.write(distinct.join(shared, "set").filter(lacking("shared")).select("set", "size", "row_hash"))
+    # what grows with the documents is dealt by key at every size
+    survivors = steps.write(distinct.join(shared.hint("merge"), "set").filter(lacking("shared")).select("set", "size", "row.row_hash", "row.n"))
 
     def tokens_of():
         return lambda texts: [pa.array([t.view(np.int64) for t in token_sets(texts, words)], pa.list_(pa.int64()))]
 
-    chosen = rows.join(survivors, "row_hash").select("set", "size", "text")
-    whole = steps.write(map_text_arrays(chosen, "text", ["set", "size"], [T.StructField("tokens", T.ArrayType(T.LongType()))], tokens_of).dropDuplicates(["set"]))
+    # one row of each set is read; where that row is repeated one of its copies is kept
+    chosen = rows.join(survivors, "row_hash").select("set", "size", "n", "text")
+    read = map_text_arrays(chosen, "text", ["set", "size", "n"], [T.StructField("tokens", T.ArrayType(T.LongType()))], tokens_of)
+    read = steps.write(read)
+    whole = read.filter("n = 1").drop("n").union(read.filter("n > 1").drop("n").dropDuplicates(["set"]))
     each = whole.select("set", "size", F.explode("tokens").alias("token"))
     holders = each.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1")
-    held = each.join(holders, "token").groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("held"))
+    held = each.join(holders.hint("merge"), "token").groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("held"))
     sets = steps.write(held.withColumn("known", F.size("held")).filter(lacking("known")).drop("known"))
+    steps.drop(steps.count - 1, steps.count - 2)
     placed = linked_sets(sets, steps, percent)
     classes = distinct.join(placed, distinct.set == placed.node, "left").select("set", "least", F.coalesce("component", "set").alias("class"))
     smallest = classes.groupBy("class").agg(F.min("least").alias("component_id"))
