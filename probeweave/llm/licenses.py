@@ -1,9 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a license notice; both are sets of words. A block holds a template when it
-contains at least ``CONTAINMENT`` of the template's words. Words are ordered from rare to frequent by the number of blocks
-that hold them, counted over the whole corpus. Only words of templates can be common to a block and a template, so only
-those are counted and kept.
+A block is a window of a text's words, a template a license notice; both are sets of words. Windows run over line ends, so that
+a wrapped notice is in one, and are bounded, so that scattered words are not: templates of up to L words, L a power of two, are
+sought in windows of 2 L words that begin every L words, one of which holds any L + 1 words that stand together. A block holds a
+template when it contains at least ``CONTAINMENT`` of the template's words. Words are ordered from rare to frequent by the number
+of blocks of that length that hold them, counted over the whole corpus. Only words of templates can be common to a block and a
+template, so only those are counted and kept.
 
 With ``need`` words required of a template of ``n``, three filters leave few pairs to verify:
 
@@ -34,6 +36,8 @@ from probeweave.llm.common import pieces
 
 #: Share of a template's words that a block must hold. Short notices differ in one word, which 0.9 tells apart.
 CONTAINMENT = 0.9
+#: Half the length of the shortest windows, in words.
+LEAST_WINDOW = 4
 #: Phrases and the label of each (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notices as they stand in the licenses' own texts and in common use, by label (fixed values).
@@ -72,60 +76,86 @@ def phrase_places(tokens: list[bytes], phrases: dict[str, str] = PHRASES) -> tup
     return sorted(starts), labels
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, hits) for every row.
+def _window(n: int) -> int:
+    """The step between the windows for a template of n words; windows are two steps long."""
+    return max(LEAST_WINDOW, 1 << (n - 1).bit_length())
 
-    ``hits`` lists the blocks that hold a template: (line, template, share). ``score`` is 1 with a base label, else the
-    largest share among the hits, else 0. The templates are a parameter list, so their size bounds what tasks are sent.
-    """
-    template_words = [sorted({w.decode() for w in words(t)}) for _, t in templates]
-    vocabulary = {w.encode() for ws in template_words for w in ws}
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = {}
-        for batch in batches:
-            for line in _lines(batch):
-                for w in vocabulary.intersection(words(line)):
-                    found[w] = found.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    def _lines(batch: pa.RecordBatch) -> Iterator[str]:
-        for part in pieces(batch, "text"):
-            for x in part.column("text").to_pylist():
-                yield from (x or "").split("\n")
-
-    # One row for each word of the templates.
-    frequency = {r["word"]: r["n"] for r in source.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    order = {w.encode(): i for i, w in enumerate(sorted({w for ws in template_words for w in ws}, key=lambda w: (frequency.get(w, 0), w)))}
-    sets = [sorted(order[w.encode()] for w in ws) for ws in template_words]
-    needs = [max(1, math.ceil(containment * len(s) - 1e-9)) for s in sets]
-    index: dict[int, list[tuple[int, int]]] = {}
-    for t, (s, need) in enumerate(zip(sets, needs)):
-        for place, w in enumerate(s[: len(s) - need + 1]):
-            index.setdefault(w, []).append((t, place))
-    prefix_words = {w for w, i in order.items() if i in index}
-    members = [frozenset(s) for s in sets]
-
-    def join(tokens: list[bytes]) -> Iterator[tuple[int, float]]:
-        """(template, share) of one block."""
-        if prefix_words.isdisjoint(tokens):
+class _Index:
+    """The templates that share a window length, by the prefixes of their sets in the order of that length's blocks."""
+
+    def __init__(self, step: int, sets: dict[int, frozenset], frequency: dict[bytes, int], containment: float):
+        self.step, self.members = step, sets
+        self.order = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
+        self.sizes = {t: len(s) for t, s in sets.items()}
+        self.needs = {t: max(1, math.ceil(containment * len(s) - 1e-9)) for t, s in sets.items()}
+        self.prefixes: dict[int, list[tuple[int, int]]] = {}
+        for t, s in sets.items():
+            for place, w in enumerate(sorted(self.order[x] for x in s)[: len(s) - self.needs[t] + 1]):
+                self.prefixes.setdefault(w, []).append((t, place))
+        self.rare = frozenset(w for w, i in self.order.items() if i in self.prefixes)
+
+    def hits(self, tokens: list[bytes]) -> Iterator[tuple[int, int, float]]:
+        """(first word, template, share) of every window that holds a template."""
+        if self.rare.isdisjoint(tokens):
             return
-        block = sorted(order[w] for w in vocabulary.intersection(tokens))
+        last = max(0, (len(tokens) - 1) // self.step)
+        near = {i // self.step - back for i, w in enumerate(tokens) if w in self.rare for back in (0, 1)}
+        for k in sorted(k for k in near if 0 <= k <= last):
+            for t, share in self.join(tokens[k * self.step : (k + 2) * self.step]):
+                yield k * self.step, t, share
+
+    def join(self, window: list[bytes]) -> Iterator[tuple[int, float]]:
+        """(template, share) of one block."""
+        block = sorted({self.order[w] for w in window if w in self.order})
         met = set()
         for place, w in enumerate(block):
-            for t, at in index.get(w, ()):
+            for t, at in self.prefixes.get(w, ()):
                 if t in met:
                     continue
                 met.add(t)  # the first common word of the two prefixes
-                if len(block) >= needs[t] and min(len(sets[t]) - at, len(block) - place) >= needs[t]:
-                    common = len(members[t].intersection(block))
-                    if common >= needs[t]:
-                        yield t, common / len(sets[t])
+                need = self.needs[t]
+                if len(block) >= need and min(self.sizes[t] - at, len(block) - place) >= need:
+                    common = len(self.members[t].intersection(window))
+                    if common >= need:
+                        yield t, common / self.sizes[t]
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, hits array<struct<line:int,template:int,share:double>>"
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, hits) for every row.
+
+    ``hits`` lists the blocks that hold a template: (start, their first word's place; template; share). ``score`` is 1 with a base label, else the
+    largest share among the hits, else 0. The templates are a parameter list, so their size bounds what tasks are sent.
+    """
+    classes: dict[int, list[int]] = {}
+    for t, (_, notice) in enumerate(templates):
+        classes.setdefault(_window(len(words(notice))), []).append(t)
+    members = [frozenset(words(notice)) for _, notice in templates]
+    vocabulary = {step: frozenset().union(*[members[t] for t in ts]) for step, ts in classes.items()}
+    wanted = frozenset().union(*vocabulary.values())
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, bytes], int] = {}
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for x in part.column("text").to_pylist():
+                    places = [(i, w) for i, w in enumerate(words(x)) if w in wanted]
+                    for step, known in vocabulary.items():
+                        held = {(w, i // step - back) for i, w in places if w in known for back in (0, 1) if i >= back * step}
+                        for w, _ in held:
+                            found[step, w] = found.get((step, w), 0) + 1
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], names=["step", "word", "n"])
+
+    # One row for each word of the templates and window length.
+    counted = source.select("text").mapInArrow(count, "step int, word string, n long").groupBy("step", "word").agg(F.sum("n").alias("n")).collect()
+    frequency = {(r["step"], r["word"].encode()): r["n"] for r in counted}
+    indexes = {step: _Index(step, {t: members[t] for t in ts}, {w: frequency.get((step, w), 0) for w in vocabulary[step]}, containment) for step, ts in classes.items()}
+
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, hits array<struct<start:int,template:int,share:double>>"
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "hits"]
-    hit = pa.list_(pa.struct([("line", pa.int32()), ("template", pa.int32()), ("share", pa.float64())]))
+    hit = pa.list_(pa.struct([("start", pa.int32()), ("template", pa.int32()), ("share", pa.float64())]))
     types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +163,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
             for part in pieces(batch, "text"):
                 rows = []
                 for i, x in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    blocks = [words(line) for line in (x or "").split("\n")]
-                    tokens = [w for b in blocks for w in b]
+                    tokens = words(x)
                     starts, base = phrase_places(tokens, phrases)
-                    hits = [{"line": k, "template": t, "share": share} for k, b in enumerate(blocks) for t, share in join(b)]
+                    hits = [{"start": at, "template": t, "share": share} for index in indexes.values() for at, t, share in index.hits(tokens)]
                     labels = base | {templates[h["template"]][0] for h in hits}
                     score = 1.0 if base else max((h["share"] for h in hits), default=0.0)
                     rows.append((i, len(tokens), len(starts), starts[0] if starts else None, starts[-1] if starts else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, hits))
@@ -149,10 +178,10 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, containment: float
     """The same rows in DuckDB: every block against every template, by set intersection."""
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    values = ",\n  ".join("('{}', [{}])".format(label, ", ".join(f"'{w.decode()}'" for w in sorted(set(words(t))))) for label, t in templates)
+    values = ",\n  ".join("('{}', {}, [{}])".format(label, _window(len(words(t))), ", ".join(f"'{w.decode()}'" for w in sorted(set(words(t))))) for label, t in templates)
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     return f"""
-WITH templates(label, ws) AS (VALUES
+WITH templates(label, step, ws) AS (VALUES
   {values}),
 phrases(phrase, label, n) AS (VALUES {phrases}),
 tokens AS (
@@ -164,11 +193,11 @@ places AS (
 base AS (
   SELECT doc_id, COUNT(*) AS n_base, MIN(place) AS first_word, MAX(place) AS last_word, list(DISTINCT label) AS found FROM places GROUP BY doc_id),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all({lower.format("line")}, '{pattern}')) AS w
-  FROM (SELECT doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS line FROM documents)),
+  SELECT doc_id, step, list_distinct(w[k * step + 1 : (k + 2) * step]) AS w
+  FROM (SELECT doc_id, w, step, unnest(range(0, greatest(1, (len(w) + step - 1) // step))) AS k FROM tokens, (SELECT DISTINCT step FROM templates))),
 hits AS (
   SELECT b.doc_id, t.label, len(list_intersect(b.w, t.ws))::DOUBLE / len(t.ws) AS share
-  FROM blocks b JOIN templates t ON len(list_intersect(b.w, t.ws)) >= greatest(1, ceil({containment} * len(t.ws) - 1e-9))),
+  FROM blocks b JOIN templates t ON b.step = t.step AND len(list_intersect(b.w, t.ws)) >= greatest(1, ceil({containment} * len(t.ws) - 1e-9))),
 method AS (SELECT doc_id, MAX(share) AS share, list(DISTINCT label) AS found FROM hits GROUP BY doc_id)
 SELECT t.doc_id, len(t.w)::BIGINT AS n_words, COALESCE(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
        COALESCE(array_to_string(list_sort(b.found), ','), '') AS base_labels,
