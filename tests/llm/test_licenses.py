@@ -27,10 +27,13 @@ def brute(table, containment=licenses.CONTAINMENT):
                 if tokens[p : p + len(wanted)] == wanted:
                     places.append(p)
                     base.add(label)
-        for line in lowered.split("\n"):
-            block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-            for label, template in licenses.TEMPLATES:
-                own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.lower()))
+        for label, template in licenses.TEMPLATES:
+            listed = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.lower())
+            own, step = set(listed), 4
+            while step < len(listed):
+                step *= 2
+            for at in range(0, max(1, len(tokens)), step):
+                block = set(tokens[at : at + 2 * step])
                 if len(own & block) >= math.ceil(containment * len(own) - 1e-9):
                     labels.add(label)
                     share = max(share, len(own & block) / len(own))
@@ -51,9 +54,19 @@ def test_labels(spark):
     found = {r["doc_id"]: r for r in licenses.scan(docs(spark, TEXTS)).collect()}
     assert found[20]["base_labels"] == "mit" and found[20]["n_base"] == 4 and "mit-notice" in found[20]["labels"]
     assert found[22]["labels"] == "mit-grant" and found[22]["score"] < 1
-    assert [h["line"] for h in found[23]["hits"]] == [0]
+    assert [h["start"] for h in found[23]["hits"]] == [0]
     assert found[24]["n_base"] == 1
 
 
+def test_wrapped_notices_and_long_lines(spark):
+    """A notice wrapped as its file has it is found wherever it begins; the same words scattered over a long line are none."""
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the \"Software\")"
+    scattered = " ".join(f"{w} and so on for some more words that say nothing" for w in dict(licenses.TEMPLATES)["mit-grant"].split())
+    table = [(i, "word " * i + grant + " end" * (3 * i)) for i in range(0, 70, 3)] + [(100, scattered), (101, "all of it\nis what the rights\nmean to us who have\nbeen so reserved"), (102, "all\nrights\nreserved")]
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(docs(spark, table)).collect()}
+    assert all(found[i] == "mit-grant" for i in range(0, 70, 3))
+    assert found[100] == "" and found[101] == "" and found[102] == "all-rights-reserved"
+
+
 def test_empty_table(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
