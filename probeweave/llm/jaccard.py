@@ -219,40 +219,56 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def _signed(sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, set, size, own, s0, ...) of every set of (set, size, held: its shared tokens as (holders, token), in order)."""
+    """(sig, set, size, own) of every set of (set, size, held: its shared tokens as (holders, token), in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            holders, tokens = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            names, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i in range(batch.num_rows):
-                part = slice(offsets[i], offsets[i + 1])
-                key = np.unique(signatures(int(sizes[i]), tokens[part], holders[part], percent))
+            for name, size, holders, tokens in _rows(batch):
+                key = np.unique(signatures(size, tokens, holders, percent))
                 if len(key):
-                    same = [names[i], sizes[i], sizes[i] - len(tokens[part]), *sketch(tokens[part])]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[pa.array(np.full(len(key), x)) for x in same]], names=["sig", *_FIELDS])
+                    same = [np.full(len(key), x) for x in (name, size, size - len(tokens))]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, same)], names=["sig", *_FIELDS])
 
-    return sets.select("set", "size", "held").mapInArrow(run, "sig long, " + ", ".join(f"{c} long" for c in _FIELDS))
+    return sets.select("set", "size", "held").mapInArrow(run, "sig long, set long, size long, own long")
 
 
-_FIELDS = ["set", "size", "own", *[f"s{i}" for i in range(SKETCH)]]
+def _sketched(sets: DataFrame) -> DataFrame:
+    """(of, s0, ...): the sketch of every set."""
+    names = [f"s{i}" for i in range(SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([sketch(tokens) for _, _, _, tokens in _rows(batch)], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(made[:, i])) for i in range(SKETCH)]], names=["of", *names])
+
+    return sets.select("set", "size", "held").mapInArrow(run, "of long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(set, size, holders, tokens) of each row."""
+    lists = batch.column(2)
+    offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    flat = lists.flatten()
+    holders, tokens = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False).view(np.uint64)
+    for i, (name, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        yield name, size, holders[offsets[i] : offsets[i + 1]], tokens[offsets[i] : offsets[i + 1]]
+
+
+_FIELDS = ["set", "size", "own"]
 
 
-def _side(name: str, given: str = "") -> list:
+def _side(name: str, given: str = "", more: tuple[str, ...] = ()) -> list:
     """The fields of one side of a pair: the set as ``name``, the others with that in front."""
-    return [F.col(f"{given}{c}").alias(name if c == "set" else f"{name}_{c}") for c in _FIELDS]
+    return [F.col(f"{given}{c}").alias(name if c == "set" else f"{name}_{c}") for c in [*_FIELDS, *more]]
 
 
 def _near_sizes(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _may_be_similar(percent: int):
+def _may_be_similar(percent: int, sketches: int = 0):
     """Whether sets a and b of these sizes, own tokens and sketches can be similar."""
-    differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)), F.col("a_own") + F.col("b_own"))
+    differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(sketches)), F.col("a_own") + F.col("b_own"))
     return ((100 + percent) * differ <= (100 - percent) * (F.col("a_size") + F.col("b_size"))) & _near_sizes("a_size", "b_size", percent)
 
 
@@ -267,18 +283,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_sets(sets: DataFrame, steps: Steps, percent: int = PERCENT) -> DataFrame:
     """(node, component) of every set with a link, for sets of (set, size, held)."""
     signed = steps.write(_signed(sets, percent))
-    members = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct("own", *[c for c in _FIELDS if c != "own"])).alias("hub")).filter("n > 1")
-    to_hub = signed.join(members, "sig").filter("hub.set <> set").select(*_side("a", "hub."), *_side("b")).filter(_may_be_similar(percent))
+    members = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct("own", "set", "size")).alias("hub")).filter("n > 1")
+    to_hub = signed.join(members.hint("merge"), "sig").filter("hub.set <> set").select(*_side("a", "hub."), *_side("b")).filter(_may_be_similar(percent))
     first = steps.write(to_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = steps.write(_verified(first, sets, percent))
-    near = connected_components(links, steps)
+    near = connected_components(links, steps)  # of each set with a link
     # members of one signature that the hubs have not connected
     placed = signed.join(near.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     apart = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high")
-    open_ = steps.write(placed.join(apart.select("sig", F.ceil(F.col("n") / PAIRED_ROWS).cast("int").alias("parts")), "sig"))
-    left = open_.select("sig", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"), *_side("a"), F.col("component").alias("a_in"))
-    right = open_.select("sig", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *_side("b"), F.col("component").alias("b_in"))
-    across = left.join(right, ["sig", "part"]).filter((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & _may_be_similar(percent))
+    parts = apart.select("sig", F.ceil(F.col("n") / PAIRED_ROWS).cast("int").alias("parts"))
+    marks = _sketched(sets)
+    open_ = placed.join(parts.hint("merge"), "sig")
+    open_ = steps.write(open_.join(marks, open_.set == marks.of).drop("of"))
+    more = tuple(f"s{i}" for i in range(SKETCH))
+    left = open_.select("sig", F.pmod(F.xxhash64("set"), "parts").cast("int").alias("part"), *_side("a", more=more), F.col("component").alias("a_in"))
+    right = open_.select("sig", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *_side("b", more=more), F.col("component").alias("b_in"))
+    across = left.join(right, ["sig", "part"]).filter((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & _may_be_similar(percent, SKETCH))
     rest = steps.write(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     return connected_components(steps.write(links.union(_verified(rest, sets, percent))), steps)
 
