@@ -30,4 +30,4 @@ def correlation_matrix(df: DataFrame, columns: list[str], keys: list[str] | None
     one = df.groupBy(*keys).agg(*sums) if keys else df.agg(*sums)
     rows = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"_n{i}_{j}").alias("n"), F.col(f"_r{i}_{j}").alias("r")) for i, j in pairs])
     found = one.select(*keys, F.inline(rows))
-    return found.select(*keys, "a", "b", "n", F.when(~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).alias("r"))
+    return found.select(*keys, "a", "b", "n", F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).alias("r"))
