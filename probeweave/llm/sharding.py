@@ -169,7 +169,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     clashing = {"size", "text_crc32", "shard", "slot"}
     kept = [c for c in carry or docs.columns if c not in clashing]
     # what is carried travels as one struct, so that no column's name can meet one of these
-    row = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in kept]).alias("row")
+    row = F.struct(*([F.col(f"`{c}`") for c in kept] or [F.lit(0)])).alias("row")
     rows = docs.select(row, size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), *[c.alias(k) for k, c in parts.items()])
     placed = rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("_range", T.LongType())]))
     order = W.partitionBy("_range").orderBy("_h", "_i", "_r")
