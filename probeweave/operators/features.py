@@ -117,8 +117,11 @@ def _one_hot(flank: Column, n: int, tag: str, maxk: int) -> Feature:
             code = sum(((d - 1) * 4 ** (k - 1 - j) for j, d in enumerate(digits)), F.lit(0))
             valid = F.least(*digits) > 0 if k > 1 else digits[0] > 0
             cells = F.when(F.length(here) < k, missing).when(valid, F.array(cell(code, 1.0))).otherwise(F.array().cast("array<struct<place:int,value:double>>"))
-            flag = lambda j: F.when(F.length(here) < k, NO_BASE).when(valid & (code == j), 1.0).otherwise(0.0)
-            out.append(Block([f"{tag}_pos{i}_{kmer}" for kmer in kmers], F.array(*[flag(j) for j in range(len(kmers))]), cells))
+            # the dense column is one nested transform: a branch for each k-mer would outgrow generated code
+            place = F.when(F.length(here) < k, -1).when(valid, code).otherwise(-2)
+            flag = lambda j, c: F.when(c == j, 1.0).when(c == -1, NO_BASE).otherwise(0.0)
+            dense = F.transform(F.array(place), lambda c: F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda j: flag(j, c)))
+            out.append(Block([f"{tag}_pos{i}_{kmer}" for kmer in kmers], F.get(dense, F.lit(0)), cells))
     return out
 
 
