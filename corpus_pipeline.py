@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from probeweave.functions.skew import grouped_percentiles  # noqa: E402
 from probeweave.llm import decontamination, langid, mixing, simhash, tokenfile  # noqa: E402
 from probeweave.llm.common import Steps, whole_row  # noqa: E402
 from probeweave.llm.queries import tokenizer_path  # noqa: E402
 
 #: The more letters a text has, the nearer its cosine comes to its language's: about M * sqrt(n / (n + HALF_LETTERS)), where M,
-#: 1 at most, is the median over at most about FIT_ROWS labelled rows that no
-#: profile was learned from. A text below LEAST_SHARE of that is no prose of a
+#: 1 at most, is the median over all labelled rows that no profile was learned from. A text below LEAST_SHARE of that is no prose of a
 #: learned language (a word repeated over and over, say). One rule holds for all lengths.
-HALF_LETTERS, LEAST_SHARE, FIT_ROWS = 300, 0.5, 20_000
+HALF_LETTERS, LEAST_SHARE = 300, 0.5
 
 
 def _likeness(found: DataFrame) -> Column:
@@ -38,10 +38,13 @@ def _likeness(found: DataFrame) -> Column:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = langid.learn_from_fold(docs)
-    labelled = docs.filter((langid.fold(F.col("doc_id")) == 1) & F.col("lang").isNotNull()).select("doc_id", "text")
-    step = max(1, labelled.count() // FIT_ROWS)
-    fit = langid.predict(labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0), prototypes, ["text"]).filter(F.col("lang_pred") != langid.UNKNOWN)
-    median = fit.agg(F.percentile(_likeness(fit), 0.5)).first()[0] or 0.0  # without such rows nothing is judged
+    held_out = docs.filter((langid.fold(F.col("doc_id")) == 1) & F.col("lang").isNotNull()).select("text")
+    fit = langid.predict(held_out, prototypes, ["text"]).filter(F.col("lang_pred") != langid.UNKNOWN)
+    steps = Steps(spark, "likeness")
+    likeness = steps.write(fit.select(_likeness(fit).alias("likeness")))  # one number a row, read to measure and to rank
+    middle = grouped_percentiles(likeness, [], "likeness", {"median": 0.5}).first()
+    steps.drop(1)
+    median = middle["median"] if middle else 0.0  # without such rows nothing is judged
     marked = docs.select(whole_row(docs), F.col("text").alias("text"))
     found = langid.predict(marked, prototypes, ["row", "text"])
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (_likeness(found) >= LEAST_SHARE * median)).select("row.*")

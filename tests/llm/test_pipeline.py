@@ -76,6 +76,15 @@ def test_language_rule_has_no_step(spark):
     assert not any(i in kept for i, text, _ in own if text.startswith("Ndnt")) and all(i in kept for i, text, _ in own if not text.startswith("Ndnt"))
 
 
+def test_language_median_of_all_held_out_rows(spark, monkeypatch):
+    """The threshold is taken from every held-out row, however many there are."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "FIT_ROWS", 3, raising=False)
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SHARE", 1.0)
+    kept = corpus_pipeline.known_language(spark, table, SF)
+    assert rows(kept, "doc_id") == sorted((i,) for i in brute_language([r.asDict() for r in table.collect()]))
+
+
 def test_stages_keep_clashing_columns(spark):
     table = docs(spark, EDGE)
     names = ["_id", "_hash", "_n", "_row", "row", "row_hash", "kept", "class", "fp", "lang_pred", "hit_id", "n", "text_hash", "number"]
