@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from probeweave.functions.seq import windows
+from probeweave.operators.kmer_sites import scan_kmers
 
 MAX_BROADCAST_K = 10
 
@@ -16,14 +17,14 @@ def _table(table: DataFrame, k: int) -> DataFrame:
     return F.broadcast(table) if k <= MAX_BROADCAST_K else table
 
 
-def profile(seqs: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """Every window's score: seq_id, position (its middle), kmer, score, start_idx.
+def profile(seqs: DataFrame, table: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every window's score: seq_id, position (its middle), kmer, score, start_idx, and the columns of its row named by ``keep``.
 
     A window that is not in the table, such as one with an N, has a NULL score.
     """
-    w = windows(seqs.select("seq_id", "seq"), k, pos="start_idx").drop("seq")
+    w = windows(seqs.select("seq_id", "seq", *keep), k, pos="start_idx").drop("seq")
     return w.join(_table(table.select("kmer", "score"), k), "kmer", "left").select(
-        "seq_id", (F.col("start_idx") + (k + 1) // 2).alias("position"), "kmer", "score", "start_idx")
+        "seq_id", (F.col("start_idx") + (k + 1) // 2).alias("position"), "kmer", "score", "start_idx", *keep)
 
 
 def unknown_windows(seqs: DataFrame, table: DataFrame, k: int) -> DataFrame:
@@ -38,8 +39,12 @@ def specific_regions(seqs: DataFrame, table: DataFrame, k: int, cutoff: float =
     the windows below the cutoff that directly follow the run, up to ``gap``, without the
     sequence's final window. Only windows above the cutoff leave the scan and are shuffled.
     """
-    hot = _table(table.where(F.col("score") > cutoff).select("kmer"), k)
-    hits = windows(seqs.select("seq_id", "seq"), k, pos="i").withColumn("last_i", F.length("seq") - k).drop("seq").join(hot, "kmer", "left_semi")
+    known = table.where(F.col("score") > cutoff).select("kmer")
+    hits = scan_kmers(seqs, known.distinct(), k, both=False)
+    if hits is not None:
+        hits = hits.select("seq_id", F.col("pos").alias("i"), (F.col("seq_len") - k).alias("last_i"))
+    else:
+        hits = windows(seqs.select("seq_id", "seq"), k, pos="i").withColumn("last_i", F.length("seq") - k).drop("seq").join(_table(known, k), "kmer", "left_semi")
     w = W.partitionBy("seq_id").orderBy("i")
     new = F.when(F.col("i") - F.lag("i").over(w) - 1 <= gap, 0).otherwise(1)
     step = hits.withColumn("_new", new).withColumn("_next", F.lead("i").over(w)).withColumn("island", F.sum("_new").over(w))

@@ -66,6 +66,41 @@ def test_kmer_sites(spark, seqs, texts):
     assert got == {i: brute_sites(s) for i, s in enumerate(texts) if brute_sites(s)}
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString().split("Optimized Logical Plan")[1]
+
+
+def test_kmer_hits_leave_the_scan_alone(spark):
+    """Windows are looked up in batches: none becomes a row, and letters outside ACGT, nulls and repeated ids are read as before."""
+    rows = [(1, None), (2, ""), (None, "ACGGAATNGGAAATTCCT"), (3, "GGA"), (4, "\u00e9bGGAATxxGGAAT\U0001f600GGAAC"), (5, "AGGAAG"), (5, "AGGAAG")]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    table = {k: (p, e) for k, p, e in fx.CORE4_KMERS if e > 0.38 and 3 <= p <= 5}
+    want = [(i, len(s), d, at, *table[t[at : at + 4]]) for i, s in rows if s for d, t in (("+", s), ("-", rc(s))) for at in range(len(t) - 3) if t[at : at + 4] in table]
+    got = kmer_sites.kmer_hits(df, model(spark))
+    assert sorted(map(repr, map(tuple, got.select("seq_id", "seq_len", "strand", "pos", "kposition", "escore").collect()))) == sorted(map(repr, want))
+    assert "Generate" not in plan(got) and "Join" not in plan(got)
+    assert "Generate" not in plan(escore.specific_regions(df, fx.escore_table(spark, 4), 4))
+
+
+def test_wild_types_read_the_sites_once(spark):
+    sites = spark.createDataFrame([(1, "a", 10, 4), (1, "b", 22, 4), (2, "a", 1, 4), (2, "b", 5, 4), (3, "a", 12, 4), (3, "b", 18, 4), (3, "c", 20, 4), (None, "a", 12, 4)], "seq_id long, tf string, core_start int, core_width int")
+    out = intervals.valid_wild_types(spark.createDataFrame([(i,) for i in (1, 1, 2, 3, 4, None)], "seq_id long"), sites, ["a", "b"])
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, True), (1, True), (2, False), (3, True), (4, False), (None, False)]))
+    assert plan(out).split("Physical Plan")[0].count("Aggregate ") == 1
+
+
+def test_profile_queries_shuffle_no_windows(spark):
+    """The summed profile sorts no windows, and probes meet their flanks before they are cut."""
+    from probeweave.plans import queries_sites
+
+    sf = "/root/testdata/sf0.001"
+    logical = plan(queries_sites.escore_profile(spark, sf)).split("Physical Plan")
+    assert "Aggregate [position" in logical[0] and logical[0].count("Aggregate ") == 2 and "kmer" in logical[0].split("Aggregate ")[2].split("]")[0]
+    lines = plan(queries_sites.flank_extended_profile(spark, sf)).split("Physical Plan")[0].splitlines()
+    at = [next(i for i, x in enumerate(lines) if word in x) for word in ("Generate explode(sequence(0", "Join Inner, (seq_id")]
+    assert at[0] < at[1]
+
+
 def test_sites_mirror_on_the_other_strand(spark, seqs):
     m = model(spark)
     a = kmer_sites.call_sites(seqs, m).select("seq_id", "strand", "core_start")
