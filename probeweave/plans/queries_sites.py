@@ -30,7 +30,9 @@ def _table(spark):
 def escore_profile(spark, sf_dir):
     """Score of every window of every probe, summed up by position."""
     p = escore.profile(fx.dna(spark, sf_dir), _table(spark), K)
-    g = p.groupBy("position", "start_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 9).alias("best"), F.min("kmer").alias("first_kmer"))
+    # numbers first, with the k-mers as keys: the least of a string is found by sorting, which only these few rows shall need
+    each = p.groupBy("position", "start_idx", "kmer").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    g = each.groupBy("position", "start_idx").agg(F.sum("n").alias("n"), F.round(F.max("best"), 9).alias("best"), F.min("kmer").alias("first_kmer"))
     return _big(g, "position", "start_idx")
 
 
