@@ -229,7 +229,9 @@ from ep join flanked using (seq_id) where i + {(K + 1) // 2} - lead between 0 an
 def flank_extended_profile(spark, sf_dir):
     """Score profile of probes extended by their flanks, on the positions of the probe: values, sum, sum weighted by place."""
     ext = _extended(spark, sf_dir)
-    p = escore.profile(ext, _table(spark), K).join(ext.select("seq_id", "lead", "body"), "seq_id")
+    # probes meet their flanks before they are cut, so that no window is shuffled
+    both = ext.select("seq_id", "seq").join(ext.select("seq_id", "lead", "body"), "seq_id")
+    p = escore.profile(both, _table(spark), K, ("lead", "body"))
     p = p.withColumn("at", F.col("start_idx") - F.col("lead")).where(f"at + {(K + 1) // 2} between 0 and body - 1")
     return p.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.sum(F.col("score") * F.col("at")), 4).alias("by_place"))
 
