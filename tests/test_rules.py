@@ -129,6 +129,23 @@ def test_shape_report(spark):
     assert {r.mark for r in tests.collect()} == {"cooperative"}
 
 
+def test_shape_report_merges_made_tracks(spark):
+    """Tracks made from letters go to their groups without a shuffle of values; equal values are merged before they are written."""
+    rng = random.Random(3)
+    rows = [(i % 50, 10 + i % 2, 20 + i % 2, 10 + 2 * (i % 3 > 0), "cooperative" if i % 4 else "independent", "".join(rng.choice("ACGT") for _ in range(12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq_id int, a int, b int, distance int, label string, Sequence string")
+    seqs = spark.createDataFrame([(r[0], r[5]) for r in rows], "seq_id int, seq string")
+    table = spark.createDataFrame([("".join(c), "MGW", float(i % 3), None) for i, c in enumerate(itertools.product("ACGT", repeat=5))], "pentamer string, shape string, v1 double, v2 double")
+    long = shape.shape_tracks(seqs, table)
+    made = lambda placed, keep: shape.shape_tracks(placed.join(seqs, "seq_id"), table, ("MGW",), keep)
+    told, given = [shape.shape_report(df, t, ["distance"], "a", "b") for t in (long, made)]
+    for a, b in zip(told, given):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    moved = [i for i in given[1].inputFiles()]
+    read = spark.read.parquet(*moved)
+    assert read.count() == read.drop("n").distinct().count() and read.agg(F.max("n")).first()[0] > 1
+
+
 def test_scores_from_called_sites(spark):
     df = spark.createDataFrame([(1,), (2,)], "seq_id int")
     sites = spark.createDataFrame([(1, 0.5), (1, 0.2), (2, 0.1)], "seq_id int, score double")
