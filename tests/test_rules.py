@@ -6,7 +6,7 @@ import random
 
 from probeweave.functions import seq as S
 from probeweave.functions.normal import normal_sf
-from probeweave.functions.skew import grouped_percentiles
+from probeweave.functions.skew import grouped_percentiles, running
 from probeweave.operators import abolish, features, intervals, models, ranktest, shape
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
@@ -129,6 +129,17 @@ def test_shape_report(spark):
     assert {r.mark for r in tests.collect()} == {"cooperative"}
 
 
+def test_oversized_groups_stay_spread(spark):
+    """No join of the range by range way deals rows by the group's key, which would put a whole group into one task."""
+    df = spark.createDataFrame([(g, float(i), 1) for g in range(2) for i in range(60)], "g int, v double, n long")
+    out = running(df, ["g"], "v", {"below": ("sum", "n")}, totals=["n"], hot_rows=10)
+    assert {(r.v, r.below, r.n_total) for r in out.collect()} == {(float(i), i, 60) for i in range(60)}
+    with_few = grouped_percentiles(df, ["g"], "v", {"median": 0.5}, hot_rows=10)
+    for made in (out, with_few):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_shape_report_merges_made_tracks(spark):
     """Tracks made from letters go to their groups without a shuffle of values; equal values are merged before they are written."""
     rng = random.Random(3)
