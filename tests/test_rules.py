@@ -132,12 +132,16 @@ def test_shape_report(spark):
 def test_oversized_groups_stay_spread(spark):
     """No join of the range by range way deals rows by the group's key, which would put a whole group into one task."""
     df = spark.createDataFrame([(g, float(i), 1) for g in range(2) for i in range(60)], "g int, v double, n long")
-    out = running(df, ["g"], "v", {"below": ("sum", "n")}, totals=["n"], hot_rows=10)
-    assert {(r.v, r.below, r.n_total) for r in out.collect()} == {(float(i), i, 60) for i in range(60)}
-    with_few = grouped_percentiles(df, ["g"], "v", {"median": 0.5}, hot_rows=10)
-    for made in (out, with_few):
-        plan = made._jdf.queryExecution().sparkPlan().toString()
-        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = running(df, ["g"], "v", {"below": ("sum", "n")}, totals=["n"], hot_rows=10)
+        assert {(r.v, r.below, r.n_total) for r in out.collect()} == {(float(i), i, 60) for i in range(60)}
+        for made in (out, grouped_percentiles(df, ["g"], "v", {"median": 0.5}, hot_rows=10)):
+            plan = made._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_shape_report_merges_made_tracks(spark):
