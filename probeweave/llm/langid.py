@@ -50,7 +50,7 @@ class Profiler:
     """Turns texts into trigram counts and bundles of trigram vectors, in bounded memory."""
 
     #: Texts, numbers of a count matrix, and trigrams whose vectors are made, at once.
-    TEXTS, CELLS, TRIGRAMS = 512, 8_000_000, 8192
+    TEXTS, CELLS, TRIGRAMS = 512, 8_000_000, 2048
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions, self.known = dimensions, {}
@@ -91,7 +91,7 @@ class Profiler:
         for a in range(0, len(used), self.TRIGRAMS):
             u = used[a : a + self.TRIGRAMS]
             bound = v2[u // (k * k)] * v1[u // k % k] * v[u % k]
-            out += counts[:, a : a + self.TRIGRAMS].astype(kind) @ bound.astype(kind)
+            out += counts[:, a : a + self.TRIGRAMS].astype(kind, copy=False) @ bound.astype(kind)
         return out
 
     def vectors(self, texts: list[str]) -> np.ndarray:
@@ -152,8 +152,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``keep`` columns of every row with ``lang_pred`` and ``score``, the cosine (0 where it is negative)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str = "text", dimensions: int = DIMENSIONS, within: str | None = None) -> DataFrame:
+    """``keep`` columns of every row with ``lang_pred`` and ``score``, the cosine (0 where it is negative); ``within`` as in ``map_texts``."""
     names = sorted(n for n, v in prototypes.items() if np.any(v))
     matrix = np.array([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).reshape(len(names), dimensions).T
 
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
         return work
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_texts(docs, text, keep, fields, make)
+    return map_texts(docs, text, keep, fields, make, within)
 
 
 def fold(doc_id) -> F.Column:

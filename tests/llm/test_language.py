@@ -73,3 +73,17 @@ def test_nothing_to_learn_from(spark):
     assert langid.learn(table) == {}
     assert rows(langid.predict(table, {}, ["doc_id"])) == [(1, "und", 0.0), (2, "und", 0.0)]
     assert langid.predict(docs(spark, []), {}, ["doc_id"]).count() == 0
+
+
+def test_text_in_its_row_goes_to_the_tasks_once(spark, monkeypatch):
+    import corpus_pipeline
+    from probeweave.llm.common import map_texts, whole_row
+
+    table = docs(spark, EDGE).repartition(1)
+    prototypes = langid.learn(table)
+    inside = langid.predict(table.select(whole_row(table)), prototypes, ["row"], within="row")
+    assert rows(inside.select("row.doc_id", "row.text", "lang_pred", "score")) == rows(langid.predict(table, prototypes, ["doc_id", "text"]))
+    sent = []
+    monkeypatch.setattr(langid, "map_texts", lambda df, *rest: sent.append(df.columns) or map_texts(df, *rest))
+    kept = corpus_pipeline.known_language(spark, table, SF)
+    assert sent == [["text"], ["row"]] and kept.columns == table.columns and kept.count() > 0
