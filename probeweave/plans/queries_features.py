@@ -68,7 +68,8 @@ def _values(df, spec):
     """(seq_id, name, value) of every feature that is not 0."""
     t, names = ft.training_cells(df, spec, ["seq_id"])
     n = F.array(*[F.lit(x) for x in names])
-    cells = t.select("seq_id", F.explode("cells").alias("c"))
+    # an inner explode would be given a filter on the array's size, which makes all cells again
+    cells = t.select("seq_id", F.explode_outer("cells").alias("c")).where("c is not null")
     return cells.select("seq_id", F.get(n, F.col("c.place")).alias("name"), F.round("c.value", 6).alias("value"))
 
 

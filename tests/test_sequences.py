@@ -247,3 +247,17 @@ def test_site_removal(spark, seqs, texts):
     for i, t in plain:
         seq, pos, status = brute_remove(t, table, 6, 0.4)
         assert (got[i].seq, got[i].positions, got[i].removed) == (seq, pos, int(status == "removed"))
+
+
+def test_cells_are_made_once(spark):
+    """Features that are not 0, in order of a hand count; no filter makes the cells of a row once more."""
+    from probeweave.plans import queries_features
+
+    df = spark.createDataFrame([(1, "ACGTAC", 1, 4), (2, "A", 0, 1), (None, "NNNN", 1, 2), (3, None, 1, 2)], "seq_id long, Sequence string, p1 int, p2 int")
+    found = queries_features._values(df, {"sequence_linker": {"seqin": 1, "poscols": ("p1", "p2"), "smode": "linker", "maxk": 1}})
+    # the middle is 2, 0, 1: the letter there and the one before; where there is none, all four letters say so
+    assert sorted(r[1:] for r in found.where("seq_id = 1").collect()) == [("toleft_linker_pos0_C", 1.0), ("toright_linker_pos0_G", 1.0)]
+    assert sorted(r[1:] for r in found.where("seq_id = 2").collect()) == [*[(f"toleft_linker_pos0_{b}", -1.0) for b in "ACGT"], ("toright_linker_pos0_A", 1.0)]
+    assert found.where("seq_id is null or seq_id = 3").count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("flatten(") == 1
