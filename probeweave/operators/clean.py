@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from probeweave.functions.seq import revcomp
-from probeweave.session import checkpointed
+from probeweave.functions.skew import hot_groups
 
 PROBE_LENGTH = 36
 ROWS_PER_NAME = 24  # 4 types x 2 orientations x 3 replicates
 SIMILAR = 4
+#: Wild types of a name from which its comparisons are spread over tasks.
+MANY_WILD_TYPES = 64
+POPULAR_FROM = 200  # letters from which SequenceMatcher leaves frequent ones out
 
 
 def matches(col, pattern: str) -> Column:
@@ -71,10 +74,38 @@ def renumber_orientations(df: DataFrame) -> DataFrame:
     return df.drop("ori").join(table, ["Name", "type", "Sequence"])
 
 
+def matching_letters(a: str, b: str) -> int:
+    """Letters in the matching blocks of two strings: the longest common part, first in ``a`` and then in ``b``, and so on at both its sides."""
+    total, open_parts = 0, [(0, len(a), 0, len(b))]
+    while open_parts:
+        alo, ahi, blo, bhi = open_parts.pop()
+        size = first_a = first_b = 0
+        i = alo
+        while i + size < ahi:
+            at = b.find(a[i : i + size + 1], blo, bhi)
+            if at >= 0:
+                size, first_a, first_b = size + 1, i, at
+            else:
+                i += 1
+        if size:
+            total += size
+            open_parts += [(alo, first_a, blo, first_b), (first_a + size, ahi, first_b + size, bhi)]
+    return total
+
+
+def ratio(a: str, b: str) -> float:
+    """``SequenceMatcher(None, a, b).ratio()``, whose rule for frequent letters begins at 200 letters."""
+    if a == b:
+        return 1.0
+    if len(b) >= POPULAR_FROM:
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * matching_letters(a, b) / (len(a) + len(b))
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def similarity_bound(a: Column, b: Column) -> Column:
@@ -87,27 +118,38 @@ def similarity_bound(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * (shared + other) / total)
 
 
-def similar_sequences(df: DataFrame, top: int = SIMILAR, salts: int = 16) -> DataFrame:
+def similar_sequences(df: DataFrame, top: int = SIMILAR, salts: int = 16, many: int = MANY_WILD_TYPES) -> DataFrame:
     """For each wild-type sequence of a name its most similar sequences of the same name.
 
-    Runs on distinct sequences; the wild-type side is salted, so one name's comparisons
-    spread over tasks. The ratio is taken of the ``top`` pairs with the highest bound, then
+    Runs on distinct sequences. The wild types of a name with over ``many`` of them are salted, so that its
+    comparisons spread over tasks. The ratio is taken of the ``top`` pairs with the highest bound, then
     of those whose bound reaches the lowest of these ratios; no other pair can be among the
     best. Ties go to the smaller sequence. Columns: Name, wt, Sequence, ratio.
     """
+    spark = df.sparkSession
     seqs = df.select("Name", "Sequence").distinct()
     wt = df.where("type = 'wt'").select("Name", F.col("Sequence").alias("wt")).distinct()
-    wt = wt.withColumn("_salt", F.pmod(F.xxhash64("wt"), F.lit(salts)).cast("int"))
-    copies = seqs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = wt.join(copies, ["Name", "_salt"]).withColumn("bound", similarity_bound(F.col("wt"), F.col("Sequence")))
-    place = F.row_number().over(W.partitionBy("Name", "wt").orderBy(F.desc("bound"), "Sequence"))
-    pairs = pairs.select("Name", "wt", "Sequence", "bound", place.alias("_n"))
-    first = checkpointed(pairs.where(F.col("_n") <= top).withColumn("ratio", similarity("wt", "Sequence")))
-    least = first.groupBy("Name", "wt").agg(F.min("ratio").alias("least"))
-    rest = pairs.where(F.col("_n") > top).join(least, ["Name", "wt"]).where(F.col("bound") >= F.col("least") - 1e-9).withColumn("ratio", similarity("wt", "Sequence"))
-    columns = ["Name", "wt", "Sequence", "ratio"]
-    best = F.row_number().over(W.partitionBy("Name", "wt").orderBy(F.desc("ratio"), "Sequence"))
-    return first.select(*columns).unionByName(rest.select(*columns)).withColumn("_n", best).where(F.col("_n") <= top).select(*columns)
+    big = hot_groups(wt, ["Name"], many)
+    keys, copies = ["Name"], seqs
+    if not big.isEmpty():
+        keys = ["Name", "_salt"]
+        hot = big.withColumn("_hot", F.lit(True))
+        wt = wt.join(hot, "Name", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("wt"), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
+        last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+        copies = seqs.join(hot, "Name", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    # comparing costs far more than its few bytes tell: the number of tasks is set, so that they are not merged by size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda d: d.where("Name is not null").repartition(parts, *keys)
+    pairs = spread(wt).join(spread(copies), keys).withColumn("bound", similarity_bound(F.col("wt"), F.col("Sequence")))
+    own = W.partitionBy(*keys, "wt")
+    pairs = pairs.withColumn("_n", F.row_number().over(own.orderBy(F.desc("bound"), "Sequence")))
+    first = F.col("_n") <= top
+    pairs = pairs.withColumn("_first", similarity(F.when(first, F.col("wt")), "Sequence")).repartition(parts, *keys, "wt")
+    pairs = pairs.withColumn("_least", F.min("_first").over(own))
+    near = pairs.where(first | (F.col("bound") >= F.col("_least") - 1e-9))
+    near = near.withColumn("_rest", similarity(F.when(~first, F.col("wt")), "Sequence")).withColumn("ratio", F.coalesce("_first", "_rest"))
+    best = near.withColumn("_best", F.row_number().over(own.orderBy(F.desc("ratio"), "Sequence")))
+    return best.where(F.col("_best") <= top).select("Name", "wt", "Sequence", "ratio")
 
 
 def regroup_duplicates(df: DataFrame, expected: int = ROWS_PER_NAME) -> DataFrame:

@@ -1,5 +1,6 @@
 """Readers, writers and cleaning on small files."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -68,6 +69,34 @@ def test_similar_and_regrouped(spark):
     assert {r.ori for r in clean.renumber_orientations(df.where("type = 'wt'")).collect()} == {"o1", "o2"}
 
 
+def test_similarity_is_the_matchers(spark):
+    rng = random.Random(3)
+    pairs = [("", ""), ("", "A"), ("AC", "AC"), ("ACGT" * 60, "ACCT" * 60)]
+    for _ in range(2000):
+        a = "".join(rng.choices("ACGTN"[: rng.choice([2, 4, 5])], k=rng.randrange(40)))
+        pairs.append((a, "".join(c if rng.random() < 0.8 else rng.choice(["", "A", "GT"]) for c in a) if rng.random() < 0.5 else "".join(rng.choices("ACGT", k=rng.randrange(40)))))
+    assert [clean.ratio(a, b) for a, b in pairs] == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+@pytest.mark.parametrize("many", [64, 2])
+def test_similar_sequences_are_compared_in_many_tasks(spark, many):
+    rng = random.Random(4)
+    texts = lambda n: ["".join(rng.choices("ACGT", k=12)) for _ in range(n)]
+    rows = [(name, s, "wt" if i % 2 else "m1") for name, n in [("a", 9), ("b", 4), ("c", 2), (None, 3)] for i, s in enumerate(texts(n))] + [("a", None, "wt"), ("b", None, "m1")]
+    df = spark.createDataFrame(rows, "Name string, Sequence string, type string")
+    got = clean.similar_sequences(df, many=many)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3  # tasks are not merged for their few bytes
+    # only the wild types of large names are met by copies
+    assert ("Generate" in plan) == (many == 2)
+    want = set()
+    for name, wt, kind in rows:
+        if name and wt and kind == "wt":
+            near = sorted(((SequenceMatcher(None, wt, s).ratio(), s) for s in {r[1] for r in rows if r[0] == name and r[1]}), key=lambda x: (-x[0], x[1]))
+            want |= {(name, wt, s, r) for r, s in near[:4]}
+    assert {tuple(r) for r in got.where("wt is not null and Sequence is not null").collect()} == want
+
+
 def test_missing_marker_and_grid(spark):
     df = spark.createDataFrame([(1, None), (None, 2.0)], "pos int, score double")
     assert [tuple(r) for r in writers.fill_missing(df, ["pos", "score"]).collect()] == [(1, -999.0), (-999, 2.0)]
