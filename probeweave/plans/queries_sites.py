@@ -9,6 +9,7 @@ from probeweave.operators import escore, intervals, kmer_sites, pwm, window_mode
 from probeweave.plans import fixtures as fx
 from probeweave.plans.queries_scan import _big, core4, core5, pwm10, pwm9, pwm_sql, scored_sites_sql, sites_sql, turned
 from probeweave.plans.registry import query
+from probeweave.session import checkpointed
 from probeweave.sources import readers
 
 K, CUT, GAP = 4, 0.2, 1
@@ -247,7 +248,7 @@ def two_models(spark):
 
 
 def _two(spark, sf_dir):
-    p = fx.peaks(spark, sf_dir)
+    p = checkpointed(fx.peaks(spark, sf_dir))  # each factor reads the peaks twice: to scan them and to score its sites
     return p, pwm.call_all(p, two_models(spark))
 
 
