@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeweave.functions.seq import revcomp
+from probeweave.session import checkpointed
 
 # ---------------------------------------------------------------- fixed model values
 # k-mer alignment of a GGAA/GGAT core: (k-mer, position in the aligned motif, score)
@@ -90,12 +91,22 @@ def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("type = 'negctrl'").select("Name", "Sequence", "type", "ori", "rep", (F.col("l_extendedprice") * 0.5).alias("intensity"))
 
 
-def chamber(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """The same spots read in a chamber with one factor ("x") or with both ("y")."""
-    p = _probe_core(table(spark, sf_dir, "lineitem")).where("type <> 'negctrl'")
+def _reading(spots: DataFrame, which: str) -> DataFrame:
     boost = F.when((F.col("type") == "wt") & (F.col("no") % 3 == 1), F.lit(2.5)).otherwise(F.lit(1.2))
     value = F.col("l_extendedprice") if which == "x" else F.col("l_extendedprice") * boost + F.col("l_tax") * 10000.0
-    return p.select("Name", "Sequence", "type", "ori", "rep", value.alias("intensity"))
+    return spots.select("Name", "Sequence", "type", "ori", "rep", value.alias("intensity"))
+
+
+def chamber(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """The same spots read in a chamber with one factor ("x") or with both ("y")."""
+    return _reading(_probe_core(table(spark, sf_dir, "lineitem")).where("type <> 'negctrl'"), which)
+
+
+def chambers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chambers x and y of spots that are made and written once, for queries that read them many times."""
+    spots = _probe_core(table(spark, sf_dir, "lineitem")).where("type <> 'negctrl'")
+    spots = checkpointed(spots.select("no", "Name", "Sequence", "type", "ori", "rep", "l_extendedprice", "l_tax"))
+    return _reading(spots, "x"), _reading(spots, "y")
 
 
 PROBE_BASE_SQL = """

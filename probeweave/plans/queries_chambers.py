@@ -56,25 +56,25 @@ def _scan5(spark):
     return lambda d: call_sites(d, core5(spark))
 
 
-def _limit(spark, sf_dir):
+def _limit(x, y):
     """One count per name over both chambers; every later group is part of a name's."""
-    names = fx.chamber(spark, sf_dir, "x").select("Name").unionByName(fx.chamber(spark, sf_dir, "y").select("Name"))
-    return limit_if_hot(names, ["Name"])
+    return limit_if_hot(x.select("Name").unionByName(y.select("Name")), ["Name"])
 
 
-def _fit(spark, sf_dir, limit):
-    return C.normalisation(fx.chamber(spark, sf_dir, "x"), fx.chamber(spark, sf_dir, "y"), _scan4(spark), limit)
+def _fit(spark, x, y):
+    return C.normalisation(x, y, _scan4(spark), _limit(x, y))
 
 
-def _placed(spark, sf_dir):
-    wild = fx.chamber(spark, sf_dir, "x").where("type = 'wt'")  # both chambers hold the same design
+def _placed(spark, x):
+    wild = x.where("type = 'wt'")  # both chambers hold the same design
     return C.place_sites(wild, _scan4(spark), _scan5(spark), "four", "five", "er", "re")
 
 
 def _tests(spark, sf_dir):
-    limit, placed = _limit(spark, sf_dir), _placed(spark, sf_dir)
-    x = C.assign_orientation(fx.chamber(spark, sf_dir, "x"), placed, "four", "five")
-    y = C.normalise(C.assign_orientation(fx.chamber(spark, sf_dir, "y"), placed, "four", "five"), _fit(spark, sf_dir, limit))
+    x, y = fx.chambers(spark, sf_dir)
+    limit, placed = _limit(x, y), _placed(spark, x)
+    fit = C.normalisation(x, y, _scan4(spark), limit)
+    x, y = C.assign_orientation(x, placed, "four", "five"), C.normalise(C.assign_orientation(y, placed, "four", "five"), fit)
     cutoff = R.control_cutoff(fx.controls(spark, sf_dir), 0.75, "ets")
     return x, C.chamber_tests(C.paired_readings(x, y), cutoff, PCUT, PAMBIG, limit)
 
@@ -88,7 +88,7 @@ def _r(df, digits, *cols):
 @query(f"""{WITH}, {NORMAL} select round(slope, 6) as slope, round(intercept, 4) as intercept, round(r2, 6) as r2 from fit""")
 def chamber_normalisation(spark, sf_dir):
     """Fit of the second chamber on the first over single-site mutants."""
-    f = _fit(spark, sf_dir, _limit(spark, sf_dir))
+    f = _fit(spark, *fx.chambers(spark, sf_dir))
     return f.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
@@ -109,7 +109,8 @@ def one_site_sequences(spark, sf_dir):
 @query(f"""{WITH}, {NORMAL}, {ORIENT} select "Name", "Sequence", round(intensity, 4) as intensity, four_pos, four_start, five_pos, five_start, ori, rep from ox""")
 def orientation_from_sites(spark, sf_dir):
     """Wild-type spots with the orientation implied by the two factors' sites."""
-    x = C.assign_orientation(fx.chamber(spark, sf_dir, "x"), _placed(spark, sf_dir), "four", "five")
+    x = fx.chamber(spark, sf_dir, "x")
+    x = C.assign_orientation(x, _placed(spark, x), "four", "five")
     for c in ("four_pos", "four_start", "five_pos", "five_start"):
         x = x.withColumn(c, F.col(c).cast("bigint"))
     return _r(x, 4, "intensity")
@@ -118,7 +119,8 @@ def orientation_from_sites(spark, sf_dir):
 @query(f"""{WITH}, {NORMAL} select "Name", type, ori, rep, round((intensity - intercept) / slope, 3) as intensity, round(intensity, 3) as unnormalized_intensity from chamber_y, fit""")
 def normalised_intensity(spark, sf_dir):
     """Second-chamber readings on the scale of the first."""
-    y = C.normalise(fx.chamber(spark, sf_dir, "y"), _fit(spark, sf_dir, _limit(spark, sf_dir))).drop("Sequence")
+    x, y = fx.chambers(spark, sf_dir)
+    y = C.normalise(y, _fit(spark, x, y)).drop("Sequence")
     return _r(y, 3, "intensity", "unnormalized_intensity")
 
 
