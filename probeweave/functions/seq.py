@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASES = "ACGT"
 
@@ -87,8 +90,34 @@ def orientation_sign(flag) -> Column:
 
 
 def kmer_codes(seq, k: int, alphabet: str = "ATCG") -> Column:
-    """Array of the k-mer codes of a string, by default in the order A,T,C,G; NULL where a letter is outside the alphabet."""
-    s = _col(seq)
+    """Array of the k-mer codes of a string, by default in the order A,T,C,G; NULL where a letter is outside the alphabet.
+
+    All windows of a batch of strings are coded at once. Codes are integers, which hold 15 letters.
+    """
+    if k > 15:
+        return _kmer_codes_by_window(_col(seq), k, alphabet)
+    digit = np.full(256, 4, np.uint8)
+    digit[list(alphabet.encode())] = range(len(alphabet))
+
+    def codes(v: pa.Array) -> pa.Array:
+        texts = v.to_pylist()
+        digits = digit[np.frombuffer("".join(x or "" for x in texts).encode("ascii", "replace"), np.uint8)]
+        sizes = np.array([len(x or "") for x in texts], np.int64)
+        counts = np.maximum(sizes - k + 1, 0)
+        ends = np.cumsum(counts)
+        # where each window starts in the joined strings
+        at = np.repeat(np.cumsum(sizes) - sizes - (ends - counts), counts) + np.arange(counts.sum())
+        code, other = np.zeros(len(at), np.int32), np.zeros(len(at), bool)
+        for j in range(k):
+            here = digits[at + j]
+            code = code * 4 + (here & 3)
+            other |= here == 4
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(code, pa.int32(), mask=other))
+
+    return F.arrow_udf(codes, T.ArrayType(T.IntegerType()))(_col(seq))
+
+
+def _kmer_codes_by_window(s: Column, k: int, alphabet: str) -> Column:
     digits = F.translate(s, alphabet, "0123")
     windows = F.transform(
         F.sequence(F.lit(1), F.length(s) - (k - 1)),

@@ -41,6 +41,21 @@ def test_codes_outside_the_alphabet(spark):
     assert [r[0] for r in df.select(S.kmer_codes("s", 2)).collect()] [:3] == [[None, None], [1, 6, 11], []]
 
 
+def test_codes_are_made_for_whole_batches(spark):
+    """Many strings, short and null ones between them, other letters and another alphabet: the codes of a plain loop, made without an expression for each window."""
+    import random
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("ACGTNé") if draw.random() < 0.1 else draw.choice("ACGT") for _ in range(n)) for n in range(40)] + [None, "", "ACGT\n", "T" * 15]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").coalesce(1)
+    for k, alphabet in ((1, "ATCG"), (2, "ATCG"), (3, "ACGT"), (15, "ACGT"), (2, "AC")):
+        codes = lambda w: None if set(w) - set(alphabet) else sum(alphabet.index(c) * 4 ** (k - 1 - j) for j, c in enumerate(w))
+        got = df.select("i", S.kmer_codes("s", k, alphabet).alias("c"))
+        assert {r.i: r.c for r in got.collect()} == {i: [codes(t[j : j + k]) for j in range(len(t or "") - k + 1)] for i, t in enumerate(texts)}
+        assert got.schema["c"].dataType.simpleString() == "array<int>"
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_probes_of_every_length(spark):
     probes = ["A", "ACG", "G" * 36, "ACGT" * 12, "TTTTT", ""]
     peaks = {1: "ACGT" * 20, 2: "G" * 40 + "T", 3: "A", 4: ""}
