@@ -161,6 +161,24 @@ def test_shape_report_merges_made_tracks(spark):
     assert read.count() == read.drop("n").distinct().count() and read.agg(F.max("n")).first()[0] > 1
 
 
+def test_tracks_are_counted_in_their_task(spark):
+    """Counted tracks give the report of single values, null and repeated rows included, without a row for each letter."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n - 1)) + rng.choice("ACGTN")
+    rows = [(i % 50, 10 + i % 3, 20 + i % 3, [10, 12, None][min(i % 7, 2)], [None, "cooperative", "independent"][i % 3], text(rng.choice((3, 12, 15)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "seq_id int, a int, b int, distance int, label string, Sequence string")
+    seqs = spark.createDataFrame([(r[0], r[5]) for r in rows] + [(7, None), (8, "")], "seq_id int, seq string")
+    table = spark.createDataFrame([("".join(c), s, i % 3 / 10, None if s == "MGW" else i % 5 / 7) for s in ("MGW", "Roll") for i, c in enumerate(itertools.product("ACGT", repeat=5))], "pentamer string, shape string, v1 double, v2 double")
+    counted = lambda placed, keep: shape.counted_tracks(placed.join(seqs, "seq_id"), table, None, [c for c in keep if c != "move"], "move")
+    told, given = [shape.shape_report(df, t, ["distance"], "a", "b") for t in (shape.shape_tracks(seqs, table), counted)]
+    assert told[1].count() > 0
+    for a, b in zip(told, given):
+        assert a.schema.simpleString() == b.schema.simpleString()
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    plan = shape.counted_tracks(seqs.withColumn("move", F.lit(1)), table, None, ["seq_id"], "move")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_scores_from_called_sites(spark):
     df = spark.createDataFrame([(1,), (2,)], "seq_id int")
     sites = spark.createDataFrame([(1, 0.5), (1, 0.2), (2, 0.1)], "seq_id int, score double")
